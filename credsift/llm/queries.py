@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_store
+from . import bpe, langid, quality, shard_pack, token_store
 from ._common import table
 
 END_ID = 2
@@ -16,6 +16,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_pack.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID))
 
@@ -24,9 +32,16 @@ def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_vector_packing": op1_vector_packing,
+    "op2_byte_cnn": op2_byte_cnn,
     "op3_elias_fano_store": op3_elias_fano_store,
     "op6_transducer_bpe": op6_transducer_bpe,
+    "op9_weak_supervision": op9_weak_supervision,
 }
 
 ORACLES: dict[str, str] = {}
