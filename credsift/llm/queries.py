@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, shard_pack, token_store
+from . import bpe, langid, quality, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -28,6 +28,10 @@ def op3_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID))
 
 
+def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_byte_cnn": op2_byte_cnn,
     "op3_elias_fano_store": op3_elias_fano_store,
+    "op4_pigeonring_simhash": op4_pigeonring_simhash,
     "op6_transducer_bpe": op6_transducer_bpe,
     "op9_weak_supervision": op9_weak_supervision,
 }
