@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, shard_pack, simhash, token_store
+from . import bpe, langid, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -40,6 +40,10 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_byte_cnn": op2_byte_cnn,
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_pigeonring_simhash": op4_pigeonring_simhash,
     "op6_transducer_bpe": op6_transducer_bpe,
     "op9_weak_supervision": op9_weak_supervision,
+    "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
 }
 
 ORACLES: dict[str, str] = {}
