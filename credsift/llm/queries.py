@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, repeats, shard_pack, simhash, token_store
+from . import bpe, decontam, langid, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -36,6 +36,10 @@ def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_elias_fano_store": op3_elias_fano_store,
     "op4_pigeonring_simhash": op4_pigeonring_simhash,
     "op6_transducer_bpe": op6_transducer_bpe,
+    "op7_cgk_decontamination": op7_cgk_decontamination,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
 }
