@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe_core import BatchEncoder, merge, pieces_of, vocabulary
-from ._common import bounded_batches, text_chunks
+from ._common import bounded_batches, staged, text_chunks
 
 LEXICON_WORDS = 1 << 15
 COUNT_FLUSH = 200_000
@@ -163,9 +163,21 @@ class Lexicon:
 
 
 def build_lexicon(documents: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The image for the most frequent words of all texts (ties by the word); its size is bounded by ``words``."""
+    """The image for the most frequent words of all texts, ``words`` of them at most.
+
+    A histogram of the counts (eight bins to a doubling) gives the lowest count that keeps within the bound, so the
+    driver gets the chosen words only.
+    """
     special = vocabulary(tokenizer_path)[2]
-    top = word_counts(documents, tokenizer_path).filter(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = staged(word_counts(documents, tokenizer_path).filter(F.octet_length("word") <= 64), "words")
+    level = F.floor(8 * F.log2("n")).cast("int")
+    least, total = None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        total += r["n"]
+        if total > words:
+            break
+        least = r["level"]
+    top = counts.filter(level >= least).select("word").collect() if least is not None else []
     return compile_lexicon([bytes(r["word"]) for r in top if bytes(r["word"]) not in special], tokenizer_path)
 
 
