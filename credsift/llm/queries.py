@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, repeats, shard_pack, simhash, token_store
+from . import bpe, decontam, html_main, langid, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -40,6 +40,10 @@ def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_pigeonring_simhash": op4_pigeonring_simhash,
     "op6_transducer_bpe": op6_transducer_bpe,
     "op7_cgk_decontamination": op7_cgk_decontamination,
+    "op8_host_suffix_array": op8_host_suffix_array,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
 }
