@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to Python; texts may be long, so both are held down.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+#: Rows of about 100 bytes up to which a side of a join is broadcast.
+BROADCAST_ROWS = 300_000
+#: Stands for a null document id in keys.
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +61,11 @@ def ship_package(spark: SparkSession) -> None:
     sc._credsift_shipped = True
 
 
+def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if a count shows that it has few rows; else Spark shuffles both sides of a join."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
 def bounded_batches(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

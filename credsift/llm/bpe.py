@@ -181,8 +181,8 @@ def build_lexicon(documents: DataFrame, tokenizer_path: str, words: int = LEXICO
     return compile_lexicon([bytes(r["word"]) for r in top if bytes(r["word"]) not in special], tokenizer_path)
 
 
-def encode_decode(documents: DataFrame, tokenizer_path: str, with_ids: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids and the decoded text."""
+def encode_decode(documents: DataFrame, tokenizer_path: str, with_ids: bool = False, with_text: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also the ids, with ``with_text`` the decoded text."""
     spark = documents.sparkSession
     image = spark.sparkContext.broadcast(build_lexicon(documents, tokenizer_path, lexicon_words))
     bounded_batches(spark)
@@ -204,11 +204,13 @@ def encode_decode(documents: DataFrame, tokenizer_path: str, with_ids: bool = Fa
                     text = b"".join(map(pieces.__getitem__, own)).decode("utf-8", "replace")
                     rows["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-                    texts.append(text)
+                    if with_text:
+                        texts.append(text)
                 if with_ids:
                     rows["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                    rows["decoded"] = texts
+                if with_text:
+                    rows["decoded"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_pydict(rows)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_main, langid, quality, repeats, shard_pack, simhash, token_store
+from . import bpe, decontam, html_main, langid, line_dedup, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -32,6 +32,10 @@ def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_segment_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_byte_cnn": op2_byte_cnn,
     "op3_elias_fano_store": op3_elias_fano_store,
     "op4_pigeonring_simhash": op4_pigeonring_simhash,
+    "op5_segment_partition": op5_segment_partition,
     "op6_transducer_bpe": op6_transducer_bpe,
     "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_host_suffix_array": op8_host_suffix_array,
@@ -64,4 +69,4 @@ QUERIES = {
     "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_segment_partition": line_dedup.REPORT_SQL}

@@ -28,14 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, drop_staged, staged, text_chunks
+from ._common import NO_ID, bounded_batches, drop_staged, staged, text_chunks
 from ._winnow import BASE, _mix, _powers, anchors
 
 LENGTH, GRAM = 200, 48
 SIDE = LENGTH - GRAM  # how far a string of LENGTH bytes can reach before its anchor
 CROWD = 2_048
 KEY = "doc_id long, sig long"
-NO_ID = -(1 << 63)
 
 
 def _context_hashes(buf: np.ndarray, low: np.ndarray, high: np.ndarray, where: np.ndarray) -> np.ndarray:

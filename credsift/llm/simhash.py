@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, ship_package, staged, text_chunks
+from ._common import NO_ID, bounded, bounded_batches, ship_package, staged, text_chunks
 from .components import connected_components
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -49,19 +49,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+    """doc_id, sig (a hash of the text), fp (the 64 bits as a long)."""
     bounded_batches(documents.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            low = 0
             for keys, buf, offsets in text_chunks(batch):
                 raw = buf.tobytes()
                 fps = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": keys, "fp": pa.array(fps, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": keys, "sig": batch.column("sig").slice(low, len(fps)), "fp": pa.array(fps, pa.int64())})
+                low += len(fps)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("sig"), text.alias("text")).mapInArrow(run, "doc_id long, sig long, fp long")
 
 
 def _chain(x):
@@ -126,20 +129,31 @@ def links(fps: DataFrame) -> DataFrame:
     return some.union(dense).distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id."""
+def _grouped(documents: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, sig, fp), and for each fingerprint its component's smallest id and the row that stands for it."""
     marked = staged(fingerprints(documents, shingle), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
+    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(row).alias("best")), "distinct-fingerprints")
     roots = staged(connected_components(links(distinct.select("fp"))), "roots")
-    owner = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = owner.groupBy("root").agg(F.min("low").alias("component_id"))
-    component = staged(owner.join(lowest, "root").select("fp", "component_id"), "components")
+    owner = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "best", F.coalesce("root", "fp").alias("root"))
+    lowest = owner.groupBy("root").agg(F.min("low").alias("component_id"), F.min("best").alias("best"))
+    return marked, staged(owner.select("fp", "root").join(lowest, "root").select("fp", "component_id", "best"), "components")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    marked, component = _grouped(documents, shingle)
     return marked.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of ``documents`` for each group of near duplicates: that of the smallest id, all columns as they were."""
-    groups = near_duplicates(documents)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = documents.join(stay, documents.doc_id.cast("long").eqNullSafe(stay._keep), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``documents`` for each group of near duplicates, that of the smallest id, with all columns as they were."""
+    marked, component = _grouped(documents, shingle)
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("sig").alias("_sig")]
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sig") == F.col("best.sig"))
+    others = staged(marked.join(component, "fp").filter(~same).select(*key).distinct(), "near-copies")
+    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_sig", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(bounded(others), ["_id", "_sig"], "left_anti")
+    if marked.groupBy(*key).count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_id", "_sig"])  # rows alike in id and text
+    return kept.drop("_id", "_sig")
