@@ -5,15 +5,17 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 from ._pretoken import piece_starts
 
-POOL_PIECES = 150_000
+POOL_PIECES = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -24,8 +26,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @cache
-def vocabulary(path: str) -> tuple[list[bytes], dict[int, tuple[int, int]], dict[bytes, int]]:
-    """Bytes of each id, the merge of each pair ((left << 20) | right -> rank, id), and the special tokens."""
+def vocabulary(path: str) -> tuple[list[bytes], tuple[dict[int, int], list[int]], dict[bytes, int]]:
+    """Bytes of each id, the merges ((left << 20) | right -> rank, and the id that each rank makes), and the special tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     back = byte_alphabet()
@@ -36,11 +38,12 @@ def vocabulary(path: str) -> tuple[list[bytes], dict[int, tuple[int, int]], dict
         pieces[i] = bytes(back[c] for c in token)
     for token, i in special.items():
         pieces[i] = token
-    merges = {}
+    merges, into = {}, []
     for rank, pair in enumerate(model["model"]["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
-        merges[(vocab[left] << 20) | vocab[right]] = (rank, vocab[left + right])
-    return pieces, merges, special
+        merges[(vocab[left] << 20) | vocab[right]] = rank
+        into.append(vocab[left + right])
+    return pieces, (merges, into), special
 
 
 @cache
@@ -52,43 +55,46 @@ def _byte_ids(path: str) -> list[int]:
 
 def merge(piece: bytes, path: str) -> list[int]:
     """The exact merges of one piece: the lowest rank first, the leftmost of equals."""
-    _, merges, _ = vocabulary(path)
+    _, (merges, into), _ = vocabulary(path)
     single = _byte_ids(path)
     ids = [single[b] for b in piece]
-    if len(ids) > 48:
-        return _merge_long(ids, merges)
-    get = merges.get
-    while len(ids) > 1:
-        best, at = None, -1
-        for i in range(len(ids) - 1):
-            m = get((ids[i] << 20) | ids[i + 1])
-            if m is not None and (best is None or m < best):
-                best, at = m, i
-        if best is None:
+    if len(ids) > 64:
+        return _merge_long(ids, merges, into)
+    get, never = merges.get, len(into)
+    ranks = [get((a << 20) | b, never) for a, b in zip(ids, ids[1:])]
+    while ranks:
+        best = min(ranks)
+        if best == never:
             break
-        ids[at : at + 2] = [best[1]]
+        i = ranks.index(best)
+        ids[i] = into[best]
+        del ids[i + 1], ranks[i]
+        if i:
+            ranks[i - 1] = get((ids[i - 1] << 20) | ids[i], never)
+        if i < len(ranks):
+            ranks[i] = get((ids[i] << 20) | ids[i + 1], never)
     return ids
 
 
-def _merge_long(ids: list[int], merges: dict) -> list[int]:
+def _merge_long(ids: list[int], merges: dict[int, int], into: list[int]) -> list[int]:
     """The same by a heap of pairs over a linked list, for pieces of any length."""
     n = len(ids)
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i] << 20) | ids[i + 1]))]
+    heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i] << 20) | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, left, right, into = heapq.heappop(heap)
+        rank, i, left, right = heapq.heappop(heap)
         j = after[i]
         if ids[i] != left or j < 0 or ids[j] != right:
             continue
-        ids[i], ids[j] = into, -1
+        ids[i], ids[j] = into[rank], -1
         after[i] = after[j]
         if after[i] >= 0:
             before[after[i]] = i
         for a in (before[i], i):
             b = after[a] if a >= 0 else -1
-            if a >= 0 and b >= 0 and (m := merges.get((ids[a] << 20) | ids[b])):
-                heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+            if a >= 0 and b >= 0 and (m := merges.get((ids[a] << 20) | ids[b])) is not None:
+                heapq.heappush(heap, (m, a, ids[a], ids[b]))
     return [x for x in ids if x >= 0]
 
 
@@ -132,20 +138,31 @@ class BatchEncoder:
         base = len(self.known)
         self.known.update(zip(pieces, range(base, base + len(pieces))))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.pool = np.concatenate([self.pool, flat])
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text start (n + 1 bounds)."""
+        gc.disable()  # hundreds of thousands of small lists, none in a cycle
+        try:
+            return self._encode(buf, offsets)
+        finally:
+            gc.enable()
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pieces, first = pieces_of(buf, offsets, tuple(self.special))
         if len(self.known) > POOL_PIECES:
             self._reset()
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if missing:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            gaps = [i for i, k in enumerate(found) if k is None]
+            missing = list(dict.fromkeys(pieces[i] for i in gaps))
             self._add(missing, self.resolve(missing))
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            for i in gaps:
+                found[i] = self.known[pieces[i]]
+        which = np.array(found, np.int64)
         sizes = self.size[which]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

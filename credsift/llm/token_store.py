@@ -15,13 +15,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._bpe_core import BatchEncoder
+from ._bpe_core import BatchEncoder, byte_alphabet
 from ._common import bounded_batches, shared_dir, text_chunks
 
 MAGIC = b"EFTB"
@@ -118,15 +119,19 @@ class Block:
         return self.ids[self.bounds.select(k) : self.bounds.select(k + 1)]
 
 
-def _library(path: str):
-    """Resolves pieces with the tokenizers library."""
+@cache
+def _library(path: str) -> tuple[BatchEncoder, int]:
+    """An encoder for a worker's life, and the size of the vocabulary. It resolves pieces with the tokenizers library's model (byte-level: a printable stand-in for each byte)."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return (lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]), special, tokenizer.get_vocab_size()
+    model, stand_in = tokenizer.model, {b: c for c, b in byte_alphabet().items()}
+
+    def resolve(pieces: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(stand_in))] for p in pieces]
+
+    return BatchEncoder(resolve, special), tokenizer.get_vocab_size()
 
 
 def write_store(documents: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = 1 << 20) -> str:
@@ -141,8 +146,8 @@ def write_store(documents: DataFrame, tokenizer_path: str, end_id: int, block_id
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        resolve, special, size = _library(tokenizer_path)
-        encoder, width, part = BatchEncoder(resolve, special), 2 if max(size, end_id + 1) <= 1 << 16 else 4, TaskContext.get().partitionId()
+        encoder, size = _library(tokenizer_path)
+        width, part = 2 if max(size, end_id + 1) <= 1 << 16 else 4, TaskContext.get().partitionId()
         docs, sizes, held, count, seq = [], [], [], 0, 0
 
         def block():
