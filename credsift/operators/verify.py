@@ -68,6 +68,7 @@ def judge(findings: DataFrame, responses: DataFrame) -> DataFrame:
     priority = F.when(F.col("o.status") == "verified", 3).when(F.col("o.status") == "invalid", 2).otherwise(1)
     turn = F.when(priority == 3, -F.col("ord")).otherwise(F.col("ord"))
     best = asked.groupBy("pattern", "match").agg(F.max_by(F.struct("provider", "o"), F.struct(priority, turn)).alias("b"))
+    findings = findings.drop("provider", "status", "status_reason", "meta")  # of an earlier run
     return findings.join(best, ["pattern", "match"], "left").select("*", F.col("b.provider").alias("provider"), "b.o.status", "b.o.status_reason", "b.o.meta").drop("b")
 
 

@@ -66,10 +66,31 @@ def readable_text(content: Column) -> Column:
     return F.when(~binary & F.is_valid_utf8(content), F.decode(content, "UTF-8"))
 
 
+def dotenv_files(spark: SparkSession, root: str, max_file_bytes: int) -> DataFrame:
+    """path, length, content of files whose names begin with ``.env``, which Spark's file sources pass over as hidden.
+
+    They are listed and read on the driver through Hadoop's file system: a few small files by nature.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, listing = [], fs.listFiles(top, True)
+    while listing.hasNext():
+        f = listing.next()
+        if f.getPath().getName().startswith(".env") and f.getLen() <= max_file_bytes:
+            stream = fs.open(f.getPath())
+            try:
+                rows.append((f.getPath().toString(), f.getLen(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "path string, length long, content binary")
+
+
 def read_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), only: DataFrame | None = None, max_file_bytes: int = MAX_FILE_BYTES, ignore_rules: list[str] | None = None) -> DataFrame:
     """path (below ``root``), text. Large files and files of other kinds are dropped before they are opened."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
+    raw = raw.select("path", "length", "content").union(dotenv_files(spark, base, max_file_bytes))
     tail = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     cut = re.sub("^[a-z]+:/*", "/", base)
     rows = raw.filter(F.col("length") <= max_file_bytes).withColumn("path", F.substring(tail, len(cut) + 2, 1 << 20))

@@ -1,0 +1,281 @@
+"""The scanner: patterns, lines, suppression, catalogue, ladder, baseline, rewriting, histories, privacy. Values are assembled here."""
+
+import base64
+import hashlib
+import hmac
+import random
+import re
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from credsift.functions import text as fn
+from credsift.functions.patterns import HINT, any_pattern, patterns
+from credsift.operators import baseline as base
+from credsift.operators import catalog, report, rewrite, verify
+from credsift.operators.classify import classify, dummy, env_reference, placeholder, secret_reference
+from credsift.operators.scan import scan, scan_history
+from credsift.sources.files import doc_lines, glob_regex, ignored, read_files, scannable
+from credsift.sources.git_patch import added_lines, read_history
+
+KEY = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
+OTHER = "AK" + "IA" + "QRSTUVWXYZ234567"
+
+
+def files(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, text string")
+
+
+def one(spark, expression):
+    return spark.range(1).select(expression.alias("x")).first().x
+
+
+def sample(regex: str, rnd: random.Random) -> str:
+    """A string that a pattern of the dimension matches."""
+    import re._parser as parser
+
+    def make(tree):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "q"
+            elif name == "IN":
+                fits = [c for c in map(chr, range(32, 127)) if re.fullmatch("[" + "".join(_cls(x) for x in arg) + "]", c)]
+                out += rnd.choice([c for c in fits if c in "aA7bB3cdef"] or fits)
+            elif name == "MAX_REPEAT":
+                low, high, sub = arg
+                out += "".join(make(sub) for _ in range(max(low, min(1, high) if low == 0 and high > 1 else low)))
+            elif name == "SUBPATTERN":
+                out += make(arg[3])
+            elif name == "BRANCH":
+                out += make(rnd.choice(arg[1]))
+        return out
+
+    def _cls(x):
+        op, arg = str(x[0]), x[1]
+        if op == "NEGATE":
+            return "^"
+        if op == "RANGE":
+            return f"{re.escape(chr(arg[0]))}-{re.escape(chr(arg[1]))}"
+        if op == "CATEGORY":
+            return {"CATEGORY_SPACE": r"\s", "CATEGORY_DIGIT": r"\d"}[str(arg)]
+        return re.escape(chr(arg))
+
+    return make(parser.parse(regex))
+
+
+def test_dimension():
+    rows = patterns()
+    assert len(rows) == 62 and len({p.id for p in rows}) == 62 and sum(p.locked for p in rows) == 17
+    assert {s: sum(p.severity == s for p in rows) for s in ("high", "critical", "medium", "low", "unknown")} == {"high": 39, "critical": 16, "medium": 5, "low": 1, "unknown": 1}
+
+
+@pytest.mark.parametrize("p", patterns(), ids=lambda p: p.id)
+def test_hint_is_necessary(p):
+    rnd = random.Random(p.ord)
+    for _ in range(20):
+        value = sample(p.regex, rnd)
+        assert re.search(p.regex, value), value
+        assert re.search(HINT, value) and re.search(any_pattern(), value)
+
+
+def test_every_pattern_is_found_with_its_byte_column(spark):
+    rnd = random.Random(1)
+    lines = {p.id: f"é {sample(p.regex, rnd)} " for p in patterns()}
+    got = scan(files(spark, *((f"{i}.txt", x) for i, x in lines.items())), suppress=False).collect()
+    for p in patterns():
+        m = re.search(p.regex, lines[p.id])
+        mine = [r for r in got if r.path == f"{p.id}.txt" and r.pattern == p.id]
+        assert any(r.match == m[1] and r.column == len(lines[p.id][: m.start(1)].encode()) + 1 for r in mine), p.id
+
+
+def test_several_matches_of_a_line(spark):
+    rows = scan(files(spark, ("a.rb", f"é {KEY} und {OTHER}\r\nx"))).orderBy("column").collect()
+    assert [(r.line, r.column, r.match) for r in rows] == [(1, 4, KEY), (1, 29, OTHER)] and rows[0].context == [f"é {KEY} und {OTHER}", "x"]
+
+
+def test_long_lines_are_context_only(spark):
+    rows = scan(files(spark, ("a.rb", "x" * 9000 + f" {KEY}\n{KEY}"))).collect()
+    assert [(r.line, len(r.context[0])) for r in rows] == [(2, 9021)]
+
+
+def test_context_is_cut_at_both_ends(spark):
+    text = "\n".join(f"l{i}" if i not in (0, 9) else KEY for i in range(10))
+    rows = {r.line: r.context for r in scan(files(spark, ("a.rb", text)), context=2).collect()}
+    assert rows == {1: [KEY, "l1", "l2"], 10: ["l7", "l8", KEY]}
+
+
+@pytest.mark.parametrize("head, kept", [("# credsift:allow", 0), ("# credsift:allow aws_access_key", 0), ("// CREDSIFT:ALLOW AWS_ACCESS_KEY", 0), ("# credsift:allow jwt", 1), ('# credsift:allow reason="why"', 1), ("# other:allow", 1), ("/* credsift:allow */", 0)])
+def test_suppression(spark, head, kept):
+    assert scan(files(spark, ("a.rb", f"{head}\n{KEY}"))).count() == kept
+    assert scan(files(spark, ("a.rb", f"{KEY}  {head}"))).count() == kept
+    assert scan(files(spark, ("a.rb", f"{head}\n\n{KEY}"))).count() == 1
+
+
+def test_overlapping_patterns_are_both_kept(spark):
+    token = "sk" + "-ant-" + "a1B2" * 12
+    assert [r.pattern for r in scan(files(spark, ("a.rb", f"k {token}"))).orderBy("pattern_ord").collect()] == ["anthropic_key", "openai_key"]
+
+
+def test_paths(spark):
+    rows = files(spark, *((p, "") for p in ("a.rb", "b.png", "Dockerfile", "x/.env.local", ".claude/worktrees/w/a.rb", "worktrees/a.rb", "A.PY", "vendor/a.rb")))
+    assert {r.path for r in rows.filter(scannable(F.col("path"), ("vendor/**",))).collect()} == {"a.rb", "x/.env.local", "worktrees/a.rb", "A.PY"}
+    assert re.search(glob_regex("*.min.js"), "a/b.min.js") and not re.search(glob_regex("/a/*.js"), "a/b/c.js") and re.search(glob_regex("a/**/c.js"), "a/b/c.js")
+    rules = ["*.log", "!keep.log", "build/", "# note", ""]
+    got = {p: one(spark, ignored(F.lit(p), rules)) for p in ("x.log", "keep.log", "build/a.rb", "a/build/b.rb", "build", "a.rb")}
+    assert got == {"x.log": True, "keep.log": False, "build/a.rb": True, "a/build/b.rb": True, "build": False, "a.rb": False}
+
+
+def test_files(spark, tmp_path):
+    for name, content in {"a.rb": KEY.encode(), "b.png": KEY.encode(), "c/d.py": b"x\0" + KEY.encode(), "e.py": b"\xff\xfe" + KEY.encode(), "big.rb": b"x" * 200, ".env.local": KEY.encode()}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    rows = read_files(spark, str(tmp_path), max_file_bytes=100)
+    assert {r.path for r in rows.collect()} == {"a.rb", ".env.local"} and scan(rows).count() == 2
+    assert read_files(spark, str(tmp_path), only=files(spark, ("./a.rb", ""))).count() == 1
+
+
+def test_lines(spark):
+    rows = doc_lines(files(spark, ("a", "x\r\r\n\né"))).orderBy("line").collect()
+    assert [(r.line, r.text, r.n_bytes) for r in rows] == [(1, "x", 1), (2, "", 0), (3, "é", 2)]
+
+
+@pytest.mark.parametrize("salt", [b"short", b"x" * 64, b"y" * 90])
+def test_fingerprint_is_hmac(spark, salt):
+    for value in (KEY, "schlüssel", ""):
+        want = base64.urlsafe_b64encode(hmac.new(salt, value.encode(), hashlib.sha256).digest()).decode().rstrip("=")
+        assert one(spark, fn.fingerprint(F.lit(value), salt)) == want
+
+
+def test_salt_file(tmp_path):
+    path = str(tmp_path / "salt")
+    first = fn.load_salt(path, create=True)
+    assert fn.load_salt(path) == first and len(first) == 32 and len(fn.load_salt(None)) == 32
+    (tmp_path / "bad").write_text("AAAA")
+    with pytest.raises(ValueError):
+        fn.load_salt(str(tmp_path / "bad"))
+
+
+def test_redaction(spark):
+    assert [one(spark, fn.redacted(F.lit(v))) for v in ("abcdefghijkl", "abcdefghijk", "é" * 12)] == ["abcd...ijkl", "abcdefghijk", "éééé...éééé"]
+
+
+@pytest.mark.parametrize("test, value, want", [
+    (env_reference, "${DB}", True), (env_reference, "$DB_1", True), (env_reference, "$2a$10$abcdefgh", False), (env_reference, "%DB%", True), (env_reference, "os.environ['x']", True), (env_reference, "$pa!ss", False),
+    (placeholder, "{password}", True), (placeholder, "<api-key>", True), (placeholder, "****", True), (placeholder, "aaaaaaaa", True), (placeholder, "abababab", True), (placeholder, "abcabcab", False), (placeholder, "", True), (placeholder, "a%sb", True),
+    (dummy, "My-CHANGEME-x", True), (dummy, "real7Value", False),
+])
+def test_value_rules(spark, test, value, want):
+    assert one(spark, test(F.lit(value))) is want
+
+
+def test_secret_reference(spark):
+    ctx = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, secret_reference(F.lit("name"), ctx("from_secret: name"))) and not one(spark, secret_reference(F.lit("name"), ctx("from_secret: other", "name")))
+    assert one(spark, secret_reference(F.lit("prod/db/pass"), ctx())) and not one(spark, secret_reference(F.lit("aB3/Xy"), ctx()))
+
+
+def finding(spark, **over):
+    row = dict(path="app/a.rb", line=1, column=1, match="Zx9_" + "q7W2e5R8", pattern="jwt", pattern_ord=1, severity="high", context=["x"], status=None, provider=None, status_reason=None) | over
+    return spark.createDataFrame([tuple(row.values())], "path string, line int, column int, match string, pattern string, pattern_ord int, severity string, context array<string>, status string, provider string, status_reason string")
+
+
+@pytest.mark.parametrize("over, step, verdict", [
+    ({}, "app_path", "real"), ({"path": "spec/a.rb"}, "fixture_path", "fixture"), ({"severity": "medium"}, "inconclusive", "unknown"), ({"path": "latest/x.rb"}, "fixture_path", "fixture"),
+    ({"status": "verified", "provider": "npm", "path": "spec/a.rb"}, "verified", "real"), ({"status": "invalid", "provider": "npm"}, "invalid", "fixture"), ({"match": "example-value-1"}, "dummy", "fixture"),
+])
+def test_ladder(spark, over, step, verdict):
+    r = classify(finding(spark, **over)).first()
+    assert (r.step, r.verdict) == (step, verdict)
+
+
+def test_catalogue_order_and_promotion(spark):
+    entries = [(0, "e", "k", "exact", "v1", "FIXTURE"), (1, "h", "k", "exact_hash", hashlib.sha256(b"v2").hexdigest(), "HONEYTOKEN"), (2, "r1", "k", "regex", "^v", "KNOWN_LEAKED"), (3, "r2", "k", "regex", "v3", "FIXTURE"), (4, "e2", "k", "exact", "v1", "KNOWN_LEAKED")]
+    rows = finding(spark, match="v1").union(finding(spark, match="v2", severity="low")).union(finding(spark, match="v3", severity="low")).union(finding(spark, match="w"))
+    got = {r.match: (r.catalog_id, r.step, r.severity) for r in classify(catalog.lookup(rows, catalog.catalog_frame(spark, entries))).collect()}
+    assert got == {"v1": ("e2", "catalog_leaked", "high"), "v2": ("h", "catalog_honeytoken", "critical"), "v3": ("r1", "catalog_leaked", "high"), "w": (None, "app_path", "high")}
+
+
+@pytest.mark.parametrize("provider, code, body, error, status", [
+    ("github", 200, '{"login":"a"}', None, "verified"), ("github", 403, "", None, "invalid"), ("gitlab", 403, "", None, "unverified"), ("pypi", 401, "", None, "invalid"), ("linear", 400, "", None, "invalid"),
+    ("slack", 200, '{"ok":false}', None, "invalid"), ("slack", 401, "", None, "unverified"), ("datadog", 200, '{"valid":true}', None, "verified"), ("npm", 500, "", None, "unverified"), ("npm", None, None, "refused", "unverified"),
+])
+def test_outcomes(spark, provider, code, body, error, status):
+    row = spark.createDataFrame([(provider, "m", code, body, error)], verify.RESPONSE).select(verify.outcome().alias("o")).first().o
+    assert row.status == status and (row.status_reason is None) == (status != "unverified")
+
+
+def test_transport_asks_once(spark):
+    rows = verify.plan_requests(finding(spark, pattern="npm_token").union(finding(spark, pattern="npm_token", line=2)).select("pattern", "match"))
+    got = verify.send(rows.filter("provider = 'npm'"), lambda provider, pattern, match: (200, '{"username":"u"}', None), 2).collect()
+    assert [(r.provider, r.http_status) for r in got] == [("npm", 200)]
+    judged = verify.judge(finding(spark, pattern="npm_token"), spark.createDataFrame(got, verify.RESPONSE)).first()
+    assert (judged.provider, judged.status, judged.meta) == ("npm", "verified", '{"username":"u"}')
+
+
+def test_baseline_follows_the_sequential_rule(spark):
+    rnd = random.Random(2)
+    now, rows, old = "2024-05-05 00:00:00", [], {}
+    for f in range(60):
+        if rnd.random() < 0.6:
+            old[f"f{f}"] = (rnd.choice(["active", "rotated", "ignored", "fixture"]), rnd.randrange(4), rnd.random() < 0.3)
+        for k in range(rnd.randrange(0, 4)):
+            rows.append((f"f{f}", "p", k, 1, "jwt", 1, "value", rnd.choice(["verified", "invalid", None]), rnd.choice(["fixture", "real", "unknown"])))
+    want = {k: list(v) for k, v in old.items()}
+    for f, *_, status, verdict in rows:
+        e = want.setdefault(f, ["active", 0, False])
+        e[1] += 1
+        if status == "verified":
+            e[0], e[2] = "active", True
+        elif e[2]:
+            e[0] = "rotated"
+        elif verdict == "fixture":
+            e[0] = "fixture"
+    found = spark.createDataFrame(rows, "fingerprint string, path string, line int, column int, pattern string, pattern_ord int, match string, status string, verdict string")
+    before = spark.createDataFrame([(k, "k", "x", s, None, None, n, e, "p", 1) for k, (s, n, e) in old.items()], base.SCHEMA)
+    got = {r.fingerprint: [r.status, r.verification_attempts, r.ever_verified] for r in base.merge(before, found, now).collect()}
+    assert got == want
+
+
+def test_rewrite(spark):
+    text = f"class A\n  API_KEY = '{KEY}'\nend"
+    rows = classify(scan(files(spark, ("app/a.rb", text))))
+    p = rewrite.propose(rows).first()
+    assert (p.env_var, p.language, p.new_line) == ("API_KEY", "ruby", "  API_KEY = ENV.fetch('API_KEY')") and KEY not in p.old_line
+    after = rewrite.apply_rewrites(files(spark, ("app/a.rb", text)), rows)
+    assert after.first().text == "class A\n  API_KEY = ENV.fetch('API_KEY')\nend"
+    diff = rewrite.unified_diffs(files(spark, ("app/a.rb", text)), after).first().diff
+    assert "+  API_KEY = ENV.fetch('API_KEY')" in diff and diff.startswith("--- a/app/a.rb")
+
+
+@pytest.mark.parametrize("line, want", [("FOO_BAR = 1", "FOO_BAR"), ("  foo_bar: 1", "FOO_BAR"), ("fooBar: 'x'", "FOO_BAR"), ("nothing", "JWT")])
+def test_variable_names(spark, line, want):
+    assert one(spark, fn.env_name(F.lit(line), F.lit("jwt"))) == want
+
+
+def test_history(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q")
+    for n, text in enumerate(("one\n", f"one\nkey {KEY}\n++ not a header\n", f"one\nkey {KEY}\nmore\n", "one\n")):
+        (tmp_path / "a.rb").write_text(text)
+        git("add", "-A")
+        git("commit", "-qm", f"c{n}")
+    rows = scan_history(added_lines(read_history(spark, str(tmp_path)))).collect()
+    assert [(r.subject, r.path, r.line, r.column, r.match) for r in rows] == [("c1", "a.rb", 2, 5, KEY)]
+    assert scan_history(added_lines(read_history(spark, str(tmp_path), since="HEAD~1"))).count() == 0
+
+
+def test_no_report_shows_a_value(spark):
+    rows = classify(scan(files(spark, ("app/a.rb", f"API_KEY = '{KEY}'")))).withColumn("fingerprint", fn.fingerprint(F.col("match"), b"salt"))
+    for frame in (report.finding_view(rows), report.sarif_results(rows), report.by_path(rows), report.prompt_candidates(rows), base.history_events(rows, "2024-01-01"), base.merge(spark.createDataFrame([], base.SCHEMA), rows, "2024-01-01"), rewrite.propose(rows)):
+        assert all(KEY not in str(r) for r in frame.collect())
+
+
+def test_exit_codes(spark):
+    rows = classify(finding(spark))
+    got = {r["mode"]: r.code for r in report.exit_codes(rows, spark.createDataFrame([], base.SCHEMA)).collect()}
+    assert got == {"none": 0, "any": 1, "real": 1, "verified": 0, "best_effort": 1, "only_verified": 0, "ever_verified": 0}
