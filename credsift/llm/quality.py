@@ -22,7 +22,9 @@ from ._common import staged
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 5
 ROUNDS, SMOOTH = 200, 1.0
-ACCURACY = (0.55, 0.99)  # a rule is held to be right more often than not, and never certain
+#: Bounds on the accuracy of votes for good and for bad: right more often than not, never certain, and a usual look is weak evidence.
+ACCURACY = {1: (0.55, 0.9), -1: (0.55, 0.99)}
+PRIOR = (18.0, 20.0)  # a vote counts from the start as right in 18 of 20 cases
 RULES = ("symbols", "symbol_runs", "lone_symbols", "letters", "capitals", "shouting", "word_length", "repetition", "repeated_lines", "sentences")
 
 
@@ -96,38 +98,40 @@ def _votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """EM over vote patterns and their counts: the log-odds of "good" before any vote, and of each rule being right."""
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
+    """EM over vote patterns and their counts: the log-odds of "good" before any vote, and what each rule's vote adds."""
     if not patterns:
         return 0.0, []
     rules = len(patterns[0][0])
-    low, high = ACCURACY
     logit = lambda x: math.log(x / (1 - x))
-    prior, weights = logit(0.8), [logit(0.8)] * rules
+    prior, weights = logit(0.8), [{1: logit(0.9), 0: 0.0, -1: -logit(0.9)} for _ in range(rules)]
+    total = sum(n for _, n in patterns)
     for _ in range(ROUNDS):
-        good = [1 / (1 + math.exp(-(prior + sum(w * v for w, v in zip(weights, votes))))) for votes, _ in patterns]
-        total = sum(n for _, n in patterns)
+        good = [1 / (1 + math.exp(-(prior + sum(w[v] for w, v in zip(weights, votes))))) for votes, _ in patterns]
         share = (sum(n * g for (_, n), g in zip(patterns, good)) + SMOOTH) / (total + 2 * SMOOTH)
         new = []
         for r in range(rules):
-            right = sum(n * (g if votes[r] > 0 else 1 - g) for (votes, n), g in zip(patterns, good) if votes[r]) + 4 * SMOOTH
-            cast = sum(n for votes, n in patterns if votes[r]) + 5 * SMOOTH
-            new.append(logit(min(high, max(low, right / cast))))
-        moved = max(abs(a - b) for a, b in zip([prior, *weights], [logit(share), *new]))
+            own = {0: 0.0}
+            for vote, (low, high) in ACCURACY.items():
+                right = sum(n * (g if vote > 0 else 1 - g) for (votes, n), g in zip(patterns, good) if votes[r] == vote) + PRIOR[0]
+                cast = sum(n for votes, n in patterns if votes[r] == vote) + PRIOR[1]
+                own[vote] = vote * logit(min(high, max(low, right / cast)))
+            new.append(own)
+        moved = max(abs(logit(share) - prior), *(abs(a[v] - b[v]) for a, b in zip(weights, new) for v in (1, -1)))
         prior, weights = logit(share), new
         if moved < 1e-9:
             break
     return prior, weights
 
 
-def _odds(prior: float, weights: list[float]) -> Column:
+def _odds(prior: float, weights: list[dict[int, float]]) -> Column:
     out = F.lit(float(prior))
     for rule, w in zip(RULES, weights):
-        out = out + F.lit(float(w)) * F.col(f"_v_{rule}")
+        out = out + F.when(F.col(f"_v_{rule}") > 0, float(w[1])).when(F.col(f"_v_{rule}") < 0, float(w[-1])).otherwise(0.0)
     return out
 
 
-def _learn(votes: DataFrame) -> tuple[float, list[float]]:
+def _learn(votes: DataFrame) -> tuple[float, list[dict[int, float]]]:
     names = [f"_v_{k}" for k in RULES]
     seen = votes.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()  # at most 3 ** rules rows
     return fit([(tuple(r[k] for k in names), r["n"]) for r in seen])
