@@ -11,7 +11,9 @@ holds an anchor that all its copies hold at the same place (see ``_winnow``), so
    lengths gives the interval tree; within each interval the longest common extension to the left is found by the order
    of the reversed left sides. Intervals whose members differ on the left are maximal repeats; each occurrence is covered
    by the longest string it shares there if that has ``LENGTH`` bytes.
-4. Anchors with more than ``CROWD`` different contexts aren't collected: all their windows are hashed and counted by key.
+4. Anchors with more than ``CROWD`` different contexts aren't collected. A string that two of them share begins in the
+   first or in the second half of the places it can begin at, and so holds more of the left or of the right side: each half
+   is a smaller group with a longer common part. Halving ends at single places, where equal strings are counted by key.
 5. The spans of each text are merged and cut out.
 
 Edge cases: null texts count as empty, texts shorter than ``LENGTH`` stay whole; repeated rows (also with one id) are each
@@ -33,7 +35,9 @@ from ._winnow import BASE, _mix, _powers, anchors
 
 LENGTH, GRAM = 200, 48
 SIDE = LENGTH - GRAM  # how far a string of LENGTH bytes can reach before its anchor
-CROWD = 2_048
+CROWD = 4_096
+SCAN_BYTES = 1 << 20  # of text hashed at a time; the hashes take some 80 bytes a byte
+RANGE = 1_000  # a range of places low..high is carried as low * RANGE + high
 KEY = "doc_id long, sig long"
 
 
@@ -52,7 +56,7 @@ def _scan(batches):
 
     for batch in batches:
         sigs, at = batch.column("sig").to_numpy(), 0
-        for keys, buf, offsets in text_chunks(batch):
+        for keys, buf, offsets in text_chunks(batch, limit=SCAN_BYTES):
             n = len(offsets) - 1
             sig = sigs[at : at + n]
             at += n
@@ -186,9 +190,10 @@ def maximal_repeats(lefts: list[bytes], left: np.ndarray, lsize: np.ndarray, rig
     """Maximal repeats around one anchor, as (members, common length to the right, longest shared length to the left of each).
 
     Rows of ``right`` are in order: they are the suffix array. ``left`` holds the reversed left sides (``lefts``, as bytes).
-    Within an interval of the common-prefix tree, neighbours in the order of their left sides that share fewer than
-    ``least`` bytes in all divide its members into groups; each group of two or more is a repeat that its members'
-    left extensions, which differ beyond the shared length, keep from growing.
+    The stack scan closes the intervals of the common-prefix tree from the longest common length down. Each keeps its
+    members in the order of their left sides; where two intervals meet, only members that get a new neighbour are looked
+    at: if their left extensions agree for longer than with any member before, they form a new maximal repeat, reported
+    if it has ``least`` bytes in all.
     """
     n = len(right)
     rows = np.arange(n)
@@ -196,24 +201,36 @@ def maximal_repeats(lefts: list[bytes], left: np.ndarray, lsize: np.ndarray, rig
     by_left = np.array(sorted(range(n), key=lefts.__getitem__))
     rank = np.empty(n, np.int64)
     rank[by_left] = rows
-    found, stack = [], []  # of open intervals: common length and first row
-
-    def close(length: int, low: int, high: int) -> None:
-        members = by_left[np.sort(rank[low : high + 1])]
-        shared = _common(left, lsize, members[:-1], members[1:])
-        joined = shared + length >= least
-        if joined.any():
-            best = np.maximum(np.append(0, shared), np.append(shared, 0))
-            inside = np.append(False, joined) | np.append(joined, False)
-            found.append((members[inside], length, best[inside]))
+    best = np.zeros(n, np.int64)
+    found, stack = [], []  # of open intervals: common length, and the ranks of the members in order
+
+    def meet(length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        at = np.searchsorted(large, small)
+        both = np.insert(large, at, small)
+        place = at + np.arange(len(small))
+        before, after = place[place > 0], place[place + 1 < len(both)]
+        x, y = by_left[both[np.append(before - 1, after)]], by_left[both[np.append(before, after + 1)]]
+        shared = _common(left, lsize, x, y)
+        touched = np.unique(np.append(x, y))
+        was = best[touched]
+        np.maximum.at(best, x, shared)
+        np.maximum.at(best, y, shared)
+        grown = touched[(best[touched] > was) | ((was == 0) & (best[touched] == 0))]
+        grown = grown[best[grown] + length >= least]
+        if len(grown):
+            found.append((grown, length, best[grown]))
+        return both
 
     for i in range(1, n + 1):
-        now, low = (lcp[i - 1], i - 1) if i < n else (-1, i)
+        now, current = lcp[i - 1] if i < n else -1, rank[i - 1 : i]
         while stack and stack[-1][0] > now:
-            length, low = stack.pop()
-            close(length, low, i - 1)
-        if i < n and (not stack or stack[-1][0] < now):
-            stack.append((now, low))
+            length, members = stack.pop()
+            current = meet(length, members, current)
+        if stack and stack[-1][0] == now:
+            stack[-1] = (now, meet(now, stack[-1][1], current))
+        else:
+            stack.append((now, current))
     return found
 
 
@@ -231,7 +248,7 @@ def _compare(batches):
         return pa.table([none, t.column("doc_id"), t.column("sig"), pa.array(pos[index] - low), pa.array(pos[index] + high), bare, bare], schema=schema).combine_chunks().to_batches()[0]
 
     def crowd(t):
-        return pa.table([t.column(k) for k in ("h", "doc_id", "sig", "pos", "pos", "left", "right")], schema=schema).combine_chunks().to_batches()[0]
+        return pa.table([t.column(k) for k in ("h", "doc_id", "sig", "pos", "range", "left", "right")], schema=schema).combine_chunks().to_batches()[0]
 
     def work(t):
         """All anchors of a table that holds each of them whole."""
@@ -343,27 +360,45 @@ def repeat_spans(documents: DataFrame) -> DataFrame:
     wanted = sorted_out.filter("need").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "h")).alias("wanted"))
     packed = long.mapInArrow(_pack, f"{KEY}, packed binary")
     contexts = packed.join(wanted, ["doc_id", "sig"]).mapInArrow(_fetch, f"h long, {KEY}, pos long, left binary, right binary")
-    compared = staged(contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_compare, f"h long, {KEY}, start long, end long, left binary, right binary"), "repeats")
-
-    crowd = compared.filter("h is not null")
-    reach = F.octet_length("left") + F.octet_length("right") - LENGTH
-    window = crowd.filter(reach >= 0).select("h", "doc_id", "sig", (F.col("start") - F.octet_length("left")).alias("low"), F.octet_length("left").alias("before"), F.concat("left", "right").alias("text"), F.explode(F.sequence(F.lit(0), reach)).alias("at"))
-    # Only windows that hold the anchor: from its first byte at the earliest offset to its last.
-    window = window.filter((F.col("at") <= F.col("before")) & (F.col("at") + LENGTH >= F.col("before") + GRAM))
-    string = F.substring("text", F.col("at") + 1, F.lit(LENGTH))
-    hashed = window.select("h", (F.col("before") - F.col("at")).alias("off"), F.xxhash64(string).alias("x"), F.xxhash64(F.lit(1), string).alias("y"), "doc_id", "sig", (F.col("low") + F.col("at")).alias("start"))
-    again = hashed.groupBy("h", "off", "x", "y").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = hashed.join(again, ["h", "off", "x", "y"], "left_semi").select("doc_id", "sig", "start", (F.col("start") + LENGTH).alias("end"))
-    parts = [found.filter("h is null"), sorted_out.filter("not need"), compared.filter("h is null"), crowded]
+    compared = staged(_compared(contexts.withColumn("range", F.lit(SIDE).cast("long"))), "repeats")
+    parts, todo = [compared.filter("h is null")], compared.filter("h is not null")
+    while todo.limit(1).count():
+        halves = staged(_halved(todo), "halves")
+        low, high = F.floor(F.col("range") / RANGE), F.col("range") % RANGE
+        single = halves.filter(low == high).withColumn("low", low)
+        string = [F.substring("left", F.octet_length("left") - F.col("low") + 1, F.col("low")), F.substring("right", F.lit(1), LENGTH - F.col("low"))]
+        keyed = single.select("h", F.xxhash64(F.lit(3), *string).alias("x"), "doc_id", "sig", (F.col("pos") - F.col("low")).alias("start"))
+        again = keyed.groupBy("h", "x").agg(F.count("*").alias("n")).filter("n > 1")
+        parts.append(keyed.join(again, ["h", "x"], "left_semi").select("doc_id", "sig", "start", (F.col("start") + LENGTH).alias("end")))
+        compared = staged(_compared(halves.filter(low < high)), "repeats")
+        parts.append(compared.filter("h is null"))
+        todo = compared.filter("h is not null")
+    parts += [found.filter("h is null"), sorted_out.filter("not need")]
     spans = parts[0].select("doc_id", "sig", "start", "end")
     for p in parts[1:]:
         spans = spans.union(p.select("doc_id", "sig", "start", "end"))
     out = staged(spans, "spans")
-    for used in (found, sorted_out, compared):
+    for used in (found, sorted_out):
         drop_staged(out.sparkSession, used)
     return out
 
 
+def _compared(contexts: DataFrame) -> DataFrame:
+    """Spans of the repeats among contexts (h, key, pos, range, left, right), and contexts of groups that are too large (h not null)."""
+    return contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_compare, f"h long, {KEY}, start long, end long, left binary, right binary")
+
+
+def _halved(crowd: DataFrame) -> DataFrame:
+    """Contexts of crowded groups, dealt anew for either half of the places at which a shared string can begin before the anchor."""
+    low, high = F.floor(F.col("end") / RANGE).cast("int"), (F.col("end") % RANGE).cast("int")
+    middle = F.floor((low + high) / 2).cast("int")
+    halves = F.array(F.struct((middle + 1).alias("low"), high.alias("high")), F.struct(low.alias("low"), middle.alias("high")))
+    rows = crowd.withColumn("half", F.explode(halves)).select("h", "doc_id", "sig", F.col("start").alias("pos"), "left", "right", "half.*")
+    rows = rows.filter((F.octet_length("left") >= F.col("low")) & (F.octet_length("right") >= LENGTH - F.col("high")))
+    common = [F.substring("left", F.octet_length("left") - F.col("low") + 1, F.col("low")), F.substring("right", F.lit(1), LENGTH - F.col("high"))]
+    return rows.select(F.xxhash64("h", "low", "high", *common).alias("h"), "doc_id", "sig", "pos", (F.col("low") * RANGE + F.col("high")).cast("long").alias("range"), "left", "right")
+
+
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the kept bytes."""
     spark = documents.sparkSession
