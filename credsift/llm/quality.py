@@ -24,6 +24,7 @@ WINDOW = 5
 ROUNDS, SMOOTH = 200, 1.0
 #: Bounds on the accuracy of votes for good and for bad: right more often than not, never certain, and a usual look is weak evidence.
 ACCURACY = {1: (0.55, 0.9), -1: (0.55, 0.99)}
+SHARE = (0.5, 0.9)  # bounds on the share of good texts: texts without a vote would else carry it away
 PRIOR = (18.0, 20.0)  # a vote counts from the start as right in 18 of 20 cases
 RULES = ("symbols", "symbol_runs", "lone_symbols", "letters", "capitals", "shouting", "word_length", "repetition", "repeated_lines", "sentences")
 
@@ -109,6 +110,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[i
     for _ in range(ROUNDS):
         good = [1 / (1 + math.exp(-(prior + sum(w[v] for w, v in zip(weights, votes))))) for votes, _ in patterns]
         share = (sum(n * g for (_, n), g in zip(patterns, good)) + SMOOTH) / (total + 2 * SMOOTH)
+        share = min(SHARE[1], max(SHARE[0], share))
         new = []
         for r in range(rules):
             own = {0: 0.0}
@@ -116,6 +118,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[i
                 right = sum(n * (g if vote > 0 else 1 - g) for (votes, n), g in zip(patterns, good) if votes[r] == vote) + PRIOR[0]
                 cast = sum(n for votes, n in patterns if votes[r] == vote) + PRIOR[1]
                 own[vote] = vote * logit(min(high, max(low, right / cast)))
+            own[-1] -= logit(share)  # against what the share of good texts says: a ratio of likelihoods
             new.append(own)
         moved = max(abs(logit(share) - prior), *(abs(a[v] - b[v]) for a, b in zip(weights, new) for v in (1, -1)))
         prior, weights = logit(share), new

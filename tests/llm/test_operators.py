@@ -290,14 +290,16 @@ def test_quality_counts_and_verdicts(spark, docs, texts):
     assert {r.doc_id for r in quality.filter_documents(docs).collect()} == {r.doc_id for r in rows if r.kept}
 
 
-def test_em_finds_the_unreliable_rule():
+def test_em_parts_good_from_bad():
     rnd, votes = random.Random(0), Counter()
     for _ in range(4000):
         good = rnd.random() < 0.8
-        say = lambda accuracy: (1 if good else -1) * (1 if rnd.random() < accuracy else -1)
-        votes[(say(0.95), say(0.9), say(0.6), 0)] += 1
-    _, weights = quality.fit(list(votes.items()))
-    assert weights[0][-1] < weights[2][-1] and weights[1][-1] < weights[2][-1]
+        fires = lambda on_bad, on_good: -1 if rnd.random() < (on_good if good else on_bad) else 0
+        usual = 1 if rnd.random() < (0.95 if good else 0.3) else 0
+        votes[(fires(0.9, 0.01), fires(0.8, 0.01), fires(0.5, 0.3), usual)] += 1
+    prior, weights = quality.fit(list(votes.items()))
+    odds = lambda *v: prior + sum(w[x] for w, x in zip(weights, v))
+    assert odds(-1, -1, 0, 0) < 0 < odds(0, 0, 0, 1) and odds(-1, -1, -1, 0) < 0
 
 
 def brute_repeats(texts, length=200):
