@@ -30,20 +30,25 @@ CROWD, BLOCK = 64, 2_048
 SECOND, THIRD = 0x0000FFFF00000000, 0x00000000FFFF0000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     import xxhash
 
     words = text.lower().split()  # A-Z only, and the ASCII blanks
     n = len(words)
     if not n:
-        return 0
+        return []
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if n <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = [0, *(ends[: n - shingle] + 1).tolist()]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return [digest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = [0, *(ends[: n - shingle] + 1).tolist()]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes)).tobytes(), "big", signed=True)
 
