@@ -6,7 +6,8 @@ Goldenberg and Koucky writes each symbol, moving on or staying by a hash of step
 most of the output alike; ``REPEATS`` walks are sampled at ``SAMPLES`` steps each, and windows that agree with an item on
 all samples of a walk are verified by an exact edit distance with free ends. Windows that cannot be within the bound (each
 edit breaks three of an item's word triples at most, so the window must hold the others) are passed over before the walk;
-that filter loses nothing.
+that filter loses nothing. A text shorter than an item has no window of its size; it is compared directly with the items of
+which it holds enough triples.
 
 The items are broadcast in parts of at most ``PART_BYTES``; a larger benchmark takes more passes over the texts.
 
@@ -89,6 +90,7 @@ class Items:
                 self.words.append(w)
         self.size = np.array([len(w) for w in self.words], np.int64)
         every = [_triples(w) for w in self.words]
+        self.every = every
         flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
         owner = np.stack([flat, np.repeat(self.size, [len(t) for t in every]).astype(np.uint64)], 1)
         owner = np.unique(owner, axis=0)  # a triple and the sizes of the items that hold it
@@ -128,7 +130,7 @@ class Items:
 
     def find(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end word) of the leaks of texts, given all their words and where each starts."""
-        if not self.words or len(words) < MIN_WORDS:
+        if not self.words or len(words) < 3:
             return []
         triple = _triples(words)
         maybe = np.flatnonzero(self.bitmap[triple >> self.shift])
@@ -142,6 +144,7 @@ class Items:
             return []
         texts = np.unique(np.searchsorted(first, dense, "right") - 1)
         starts, sizes = [], []
+        found: dict[tuple[int, int], list[int]] = {}
         which = np.searchsorted(self.triples, triple[maybe])
         for t in texts.tolist():
             a, b = int(first[t]), int(first[t + 1])
@@ -154,6 +157,11 @@ class Items:
                 k, own = self.limit[n], place[size == n]
                 if b - a < n - k or len(own) < self.need[n]:
                     continue
+                if b - a < n:
+                    for item in np.flatnonzero(self.size == n).tolist():
+                        if np.isin(self.every[item], triple[a : b - 2]).sum() >= self.need[n]:
+                            found[t, item] = [a]
+                    continue
                 # Windows that reach a triple of an item of this size, and enough of them.
                 low = np.unique((own[:, None] + np.arange(-(n + k), k + 1)).ravel()) if len(own) * (n + k) < 4 * (b - a) else np.arange(a, b)
                 low = np.unique(np.clip(low, a, max(a, b - n)))
@@ -162,10 +170,7 @@ class Items:
                 starts.append(low)
                 sizes.append(np.minimum(n, b - low))
         start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        if not len(start):
-            return []
-        size = np.concatenate(sizes)
-        found: dict[tuple[int, int], list[int]] = {}
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         for chunk in range(0, len(start), 20_000):
             s, z = start[chunk : chunk + 20_000], size[chunk : chunk + 20_000]
             keys = self.walks(words, s, z).ravel()
