@@ -8,21 +8,32 @@ that meet in no segment never carry their text anywhere; for the others it is fe
 a threshold (the built-in, as a semi-join condition) decides. A semi-join asks only whether an earlier line
 exists, so a crowd of alike lines gives one row each, not a row for each pair.
 
+``line_report`` does this. The pipeline's stage, ``dedup_lines``, removes every repeat of a line that isn't blank, and for near
+lines of ``MIN_CHARS`` or more takes one edit for each ``PER_EDIT`` characters of the longer line. Up to ``SEGMENTED`` characters
+segments find all such pairs. The number of probes grows with the cube of the threshold, so longer lines meet on minhashes of
+word pairs and are verified by the same banded distance: a pair of similarity 0.5 in its word pairs is missed with a chance
+of 1 in 100, but edits spread over most of a long line's words may be missed.
+
 A document all of whose words stand in removed lines is a copy; it is left whole, for document deduplication to judge.
 
-Edge cases: null texts have no lines and stay null; blank and short lines always stay; line ends are single line feeds;
+Edge cases: null texts have no lines and stay null; blank lines always stay, and in ``line_report`` short ones; line ends are single line feeds;
 very long lines are compared whole; rows alike in id and text are taken for one; null ids come first; an empty table gives
 an empty result; other columns are ignored by ``line_report`` and kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, bounded, staged
 
 EDITS, MIN_CHARS = 1, 16
+#: The stage's threshold: one edit for so many characters of the longer line. Lines of up to SEGMENTED characters meet on
+#: segments; longer ones on BANDS pairs of minhashes.
+PER_EDIT, SEGMENTED, BANDS = 10, 49, 16
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -50,19 +61,52 @@ def segment_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list
     return index, probe
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """id, sig, place, line for every line that may be removed."""
+def _minhashes(line: Column, length: Column) -> list[Column]:
+    """Keys of pairs of minhashes over pairs of words, or over four characters where a line has few blanks."""
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    some = lambda t, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(n))))
+    features = F.when(F.size(words) * 12 < length, some(F.split(line, ""), 4)).otherwise(some(words, 2))
+    rnd = random.Random(42)
+    masks = [rnd.getrandbits(64) - (1 << 63) for _ in range(2 * BANDS)]
+    # The hash nearest to a mask: features are held once, the lambda is applied to an array of one array.
+    nearest = lambda f, m: F.array_min(F.transform(f, lambda x: x.bitwiseXOR(F.lit(m))))
+    return F.transform(F.array(features), lambda f: F.array(*(F.xxhash64(F.lit(-1 - b), nearest(f, masks[2 * b]), nearest(f, masks[2 * b + 1])) for b in range(BANDS))))[0]
+
+
+def scaled_keys(line: Column, length: Column) -> tuple[Column, Column]:
+    """Arrays of index and probe keys of a line whose threshold is a ``PER_EDIT``-th of the longer line's length."""
+    index, probe = [], []
+    for k in range(1, SEGMENTED // PER_EDIT + 1):
+        own, other = segment_keys(line, length, k)
+        most = k * PER_EDIT + PER_EDIT - 1
+        held = lambda x, least: F.when((length >= max(MIN_CHARS, least)) & (length <= most) & x.isNotNull(), F.xxhash64(F.lit(k), x))  # noqa: B023, E731
+        index += [held(x, k * PER_EDIT - k) for x in own]
+        probe += [held(x, k * PER_EDIT) for x in other]
+    index = F.when((length >= MIN_CHARS) & (length <= SEGMENTED), F.array(*index)).otherwise(F.array().cast("array<bigint>"))
+    probe = F.when((length >= MIN_CHARS) & (length <= SEGMENTED), F.array(*probe)).otherwise(F.array().cast("array<bigint>"))
+    longer = F.when(length >= SEGMENTED * 9 // 10, _minhashes(line, length)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(index, longer), probe
+
+
+def _lines(documents: DataFrame, every: bool = False) -> DataFrame:
+    """id, sig, place, line for every line that may be removed (``every``: short ones too)."""
     text = F.col("text").cast("string")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("sig"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return rows.filter(F.char_length("line") >= MIN_CHARS)
+    return rows.filter(F.col("line").rlike(r"\S") if every else F.char_length("line") >= MIN_CHARS)
+
 
+def removals(documents: DataFrame, edits: int | None = EDITS) -> DataFrame:
+    """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines.
 
-def removals(documents: DataFrame, edits: int = EDITS) -> DataFrame:
-    """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines."""
+    Without ``edits`` the threshold grows with the longer line's length, and equal lines go however short they are."""
+    scaled = edits is None
     h = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g")]
     length = F.char_length("line")
-    index, probe = segment_keys(F.col("line"), F.col("length"), edits)
-    rows = _lines(documents).withColumn("length", length).select("id", "sig", "place", *h, F.array(*index).alias("index"), F.array(*probe).alias("probe"))
+    if scaled:
+        index, probe = scaled_keys(F.col("line"), F.col("length"))
+    else:
+        index, probe = (F.array(*x) for x in segment_keys(F.col("line"), F.col("length"), edits))
+    rows = _lines(documents, scaled).withColumn("length", length).select("id", "sig", "place", *h, index.alias("index"), probe.alias("probe"))
     distinct = staged(rows.groupBy("h", "g").agg(F.min(F.struct("id", "sig", "place")).alias("first"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
 
     # At equal lengths a segment that stands where the index has it is its own probe.
@@ -78,16 +122,21 @@ def removals(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = _lines(documents).join(bounded(wanted), ["id", "sig", "place"], "left_semi").select(F.struct("id", "sig", "place").alias("first"), "line").dropDuplicates(["first"])
     full = staged(close.join(texts, "first"), "near-texts")
     p, q = full.alias("p"), full.alias("q")
-    near = (F.col("p.key") == F.col("q.key")) & (F.col("q.first") < F.col("p.first")) & (F.levenshtein(F.col("p.line"), F.col("q.line"), edits) >= 0)
+    near = (F.col("p.key") == F.col("q.key")) & (F.col("q.first") < F.col("p.first"))
+    if scaled:
+        most = f"int(greatest(char_length(p.line), char_length(q.line)) / {PER_EDIT})"
+        near = near & F.expr(f"abs(char_length(p.line) - char_length(q.line)) <= {most} and levenshtein(p.line, q.line, {most}) >= 0")
+    else:
+        near = near & (F.levenshtein(F.col("p.line"), F.col("q.line"), edits) >= 0)
     later = p.join(q, near & (F.col("p.indexed") | F.col("q.indexed")), "left_semi").select("h", "g").distinct().withColumn("near", F.lit(True))
     bad = distinct.select("h", "g", "first", "n").join(bounded(later), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bad = staged(bad, "bad-lines")
-    places = _lines(documents).select("id", "sig", "place", *h)
+    places = _lines(documents, scaled).select("id", "sig", "place", *h)
     gone = places.join(bounded(bad), ["h", "g"]).filter(F.col("near") | (F.struct("id", "sig", "place") != F.col("first")))
     return gone.groupBy("id", "sig").agg(F.collect_set(F.struct("place", "near")).alias("gone"))
 
 
-def _with_kept(documents: DataFrame, edits: int) -> DataFrame:
+def _with_kept(documents: DataFrame, edits: int | None) -> DataFrame:
     """``documents`` with _gone, and _kept: the text without its removed lines (or whole)."""
     gone = staged(removals(documents, edits), "removed-lines")
     text = F.col("text").cast("string")
@@ -116,8 +165,8 @@ def line_report(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``documents`` without the removed lines; all rows and columns stay (``n_chars``, where there is one, counts the new text)."""
+def dedup_lines(documents: DataFrame, edits: int | None = None) -> DataFrame:
+    """``documents`` without the removed lines (threshold by length, see ``removals``); all rows and columns stay (``n_chars``, where there is one, counts the new text)."""
     made = _with_kept(documents, edits)
     columns = [F.col("_kept").alias("text") if c == "text" else F.when(F.col("_whole"), F.col(c)).otherwise(F.char_length("_kept")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return made.select(*columns)
