@@ -15,7 +15,8 @@ import numpy as np
 
 from ._pretoken import piece_starts
 
-POOL_PIECES = 600_000
+POOL_BYTES = 24 << 20  # of pieces seen, counting 96 bytes for each besides its own
+SLICE = 1 << 20  # bytes of text encoded at a time, about
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -131,12 +132,14 @@ class BatchEncoder:
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._add([*self.special], [[i] for i in self.special.values()])
 
     def _add(self, pieces: list[bytes], ids: list[list[int]]) -> None:
         base = len(self.known)
         self.known.update(zip(pieces, range(base, base + len(pieces))))
+        self.held += 96 * len(pieces) + sum(map(len, pieces))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
@@ -153,7 +156,7 @@ class BatchEncoder:
 
     def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pieces, first = pieces_of(buf, offsets, tuple(self.special))
-        if len(self.known) > POOL_PIECES:
+        if self.held > POOL_BYTES:
             self._reset()
         found = list(map(self.known.get, pieces))
         if None in found:

@@ -22,20 +22,18 @@ def _classes() -> np.ndarray:
     import regex
     from tokenizers.pre_tokenizers import ByteLevel
 
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every = "".join(map(chr, points))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
-    out[0xD800:0xE000] = OTHER
-    older = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in every], np.uint8)
-    now = out[points]
     library = ByteLevel(add_prefix_space=False)
-    for i in np.flatnonzero((now != older) & (now != SPACE)):
-        c = chr(points[i])
-        joins = [len(library.pre_tokenize_str(x + c)) == 1 for x in "a1"]
-        out[points[i]] = LETTER if joins[0] else NUMBER if joins[1] else OTHER
+    for low in range(0, 0x110000, 1 << 13):
+        points = [p for p in range(low, low + (1 << 13)) if not 0xD800 <= p < 0xE000]
+        every = "".join(map(chr, points))
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+            out[[ord(c) for c in regex.findall(pattern, every)]] = kind
+        older = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in every], np.uint8)
+        now = out[points]
+        for i in np.flatnonzero((now != older) & (now != SPACE)):
+            joins = [len(library.pre_tokenize_str(x + every[i])) == 1 for x in "a1"]
+            out[points[i]] = LETTER if joins[0] else NUMBER if joins[1] else OTHER
     return out
 
 

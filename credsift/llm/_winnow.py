@@ -13,14 +13,17 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Bytes hashed at a time; the tables of powers have this size whatever the texts' lengths.
+BLOCK = 1 << 16
+
+
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64."""
     with np.errstate(over="ignore"):
-        up = np.full(n, BASE, np.uint64)
-        up[0] = 1
-        down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        down[0] = 1
+        up = np.full(BLOCK, BASE, np.uint64)
+        down = np.full(BLOCK, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
         return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
@@ -31,15 +34,41 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _sums(piece: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _powers()[0][: len(piece)], out=out[1:])
+    return out
+
+
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on."""
-    n = len(buf)
-    if n < gram:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(16, (n + 1 - 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    out = np.zeros(max(0, len(buf) - gram + 1), np.uint64)
+    step = BLOCK - gram + 1
+    for at in range(0, len(out), step):
+        sums = _sums(buf[at : at + BLOCK])
+        n = len(sums) - gram
+        out[at : at + n] = _mix((sums[gram:] - sums[:-gram]) * _powers()[1][:n])
+    return out
+
+
+def range_hashes(buf: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range; neither ends of ranges may descend. A range beyond ``BLOCK`` bytes is hashed on its own."""
+    import xxhash
+
+    out, i = np.zeros(len(low), np.uint64), 0
+    while i < len(low):
+        base = int(low[i])
+        j = int(np.searchsorted(high, base + BLOCK, "right"))
+        if j <= i:
+            out[i] = xxhash.xxh64_intdigest(buf[base : int(high[i])].tobytes(), 5)
+            i += 1
+            continue
+        j = min(j, i + int(np.searchsorted(low[i:j], base + BLOCK - 1, "right")))
+        sums = _sums(buf[base : int(high[j - 1])])
+        a, b = low[i:j] - base, high[i:j] - base
+        out[i:j] = (sums[b] - sums[a]) * _powers()[1][a]
+        i = j
+    return _mix(out)
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:

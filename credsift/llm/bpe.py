@@ -20,11 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe_core import BatchEncoder, merge, pieces_of, vocabulary
+from ._bpe_core import SLICE, BatchEncoder, merge, pieces_of, vocabulary
 from ._common import bounded_batches, staged, text_chunks
 
 LEXICON_WORDS = 1 << 15
-COUNT_FLUSH = 200_000
+COUNT_BYTES = 12 << 20  # of words counted in a worker before they go to Spark, about, with 96 for each besides its own
 
 
 def word_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -38,14 +38,24 @@ def word_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
 
         special = tuple(vocabulary(tokenizer_path)[2])
         seen: Counter = Counter()
+
+        def told():
+            out = pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.binary()), "n": pa.array(seen.values(), pa.int64())})
+            seen.clear()
+            return out
+
+        held = 0
         for batch in batches:
-            for _, buf, offsets in text_chunks(batch):
-                seen.update(pieces_of(buf, offsets, special)[0])
-                if len(seen) > COUNT_FLUSH:
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.binary()), "n": pa.array(seen.values(), pa.int64())})
-                    seen.clear()
+            for _, buf, offsets in text_chunks(batch, limit=SLICE):
+                before = len(seen)
+                pieces = pieces_of(buf, offsets, special)[0]
+                seen.update(pieces)
+                held += (len(seen) - before) * (96 + len(buf) // max(1, len(pieces)))
+                if held > COUNT_BYTES:
+                    yield told()
+                    held = 0
         if seen:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.binary()), "n": pa.array(seen.values(), pa.int64())})
+            yield told()
 
     rows = documents.select(F.lit(0).alias("doc_id"), F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -194,13 +204,13 @@ def encode_decode(documents: DataFrame, tokenizer_path: str, with_ids: bool = Fa
         decimal = [str(i) for i in range(len(pieces))]
         encoder = BatchEncoder(Lexicon(image.value).resolver(tokenizer_path), special)
         for batch in batches:
-            for keys, buf, offsets in text_chunks(batch):
+            for keys, buf, offsets in text_chunks(batch, limit=SLICE):
                 ids, at = encoder(buf, offsets)
-                flat, bounds = ids.tolist(), at.tolist()
+                bounds = at.tolist()
                 rows = {"doc_id": keys, "n_tokens": pa.array(np.diff(at)), "ids_sha256": [], "decoded_sha256": []}
                 texts = []
                 for a, b in zip(bounds, bounds[1:]):
-                    own = flat[a:b]
+                    own = ids[a:b].tolist()
                     text = b"".join(map(pieces.__getitem__, own)).decode("utf-8", "replace")
                     rows["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())

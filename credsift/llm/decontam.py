@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, text_chunks
-from ._winnow import _mix, _powers
+from ._winnow import _mix, range_hashes
 
 EDITS, MIN_WORDS = 0.2, 8
 REPEATS, SAMPLES, SEED = 24, 2, 11
 PART_BYTES = 32 << 20
+SCAN_BYTES = 1 << 20  # of text searched at a time
 BLOCK = 18  # words of the first, coarse check
 PAD = np.uint64(0x5DEECE66D)
 
@@ -50,10 +51,7 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = offsets[1:][np.diff(offsets) > 0] - 1
     ends[last] = inside[last]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(16, len(buf).bit_length()))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return _mix((sums[b] - sums[a]) * down[a]), np.searchsorted(a, offsets)
+    return range_hashes(buf, a, b), np.searchsorted(a, offsets)
 
 
 def _triples(words: np.ndarray) -> np.ndarray:
@@ -225,7 +223,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             items = Items(*sent.value)
             for batch in batches:
-                for keys, buf, offsets in text_chunks(batch):
+                for keys, buf, offsets in text_chunks(batch, limit=SCAN_BYTES):
                     got = items.find(*words_of(buf, offsets))
                     if got:
                         yield pa.RecordBatch.from_pydict({"doc_id": keys.take(pa.array([g[0] for g in got])), "item_id": pa.array([items.ids[g[1]] for g in got], pa.int64()), "edits": pa.array([g[2] for g in got], pa.int32()), "n_words": pa.array([int(items.size[g[1]]) for g in got], pa.int32()), "end_word": pa.array([g[3] for g in got], pa.int64())})
@@ -249,7 +247,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(*sent.value)
             for batch in batches:
                 clean, low = np.ones(batch.num_rows, bool), 0
-                for keys, buf, offsets in text_chunks(batch, "_lower", "_lower"):
+                for keys, buf, offsets in text_chunks(batch, "_lower", "_lower", SCAN_BYTES):
                     for g in items.find(*words_of(buf, offsets)):
                         clean[low + g[0]] = False
                     low += len(offsets) - 1

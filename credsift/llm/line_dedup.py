@@ -1,59 +1,65 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
-A line of ``MIN_CHARS`` or more characters is removed if an equal line, or one within ``EDITS`` edits of it, comes earlier
-(by document id, then place). Lines are reduced to 128-bit hashes first, so equal lines meet once. For the edit join each
-distinct line is cut into ``EDITS`` + 1 segments; a line within the threshold holds one of them unchanged at a place
-that the two lengths bound, so an index of segments by length is probed with the few substrings that can match. Lines
-that meet in no segment never carry their text anywhere; for the others it is fetched, and the banded edit distance with
-a threshold (the built-in, as a semi-join condition) decides. A semi-join asks only whether an earlier line
+A line that isn't blank is removed if an equal line, or a near one, comes earlier (by document id, then place). Lines of
+``MIN_CHARS`` or more characters are near within the edits that ``LADDER`` allows for the longer line's length. Lines are
+reduced to 128-bit hashes first, so equal lines meet once. For the edit join each distinct line is cut into one more
+segment than its threshold; a line within the threshold holds one of them unchanged at a place that the two lengths
+bound, so an index of segments by length is probed with the few substrings that can match. Lines that meet in no segment
+never carry their text anywhere; for the others it is fetched, and a banded bit-parallel edit distance decides (``within``: a
+band of 2 k + 1 diagonals in one long, shifted along the longer line). A semi-join asks only whether an earlier line
 exists, so a crowd of alike lines gives one row each, not a row for each pair.
 
-``line_report`` does this. The pipeline's stage, ``dedup_lines``, removes every repeat of a line that isn't blank, and for near
-lines of ``MIN_CHARS`` or more takes one edit for each ``PER_EDIT`` characters of the longer line. Up to ``SEGMENTED`` characters
-segments find all such pairs. The number of probes grows with the cube of the threshold, so longer lines meet on minhashes of
-word pairs and are verified by the same banded distance: a pair of similarity 0.5 in its word pairs is missed with a chance
-of 1 in 100, but edits spread over most of a long line's words may be missed.
+A segment that more than ``CROWD`` lines share (one equal half, many different others) isn't joined on. Its lines are cut
+into ``FINE`` more segments than the threshold, of which all but the threshold's number are intact, and meet only on all of
+those at once.
 
 A document all of whose words stand in removed lines is a copy; it is left whole, for document deduplication to judge.
 
-Edge cases: null texts have no lines and stay null; blank lines always stay, and in ``line_report`` short ones; line ends are single line feeds;
-very long lines are compared whole; rows alike in id and text are taken for one; null ids come first; an empty table gives
-an empty result; other columns are ignored by ``line_report`` and kept by ``dedup_lines``.
+Edge cases: null texts have no lines and stay null; blank lines always stay; line ends are single line feeds; very long
+lines are compared whole; rows alike in id and text are taken for one; null ids come first; an empty table gives an empty
+result; other columns, of any name, are ignored by ``line_report`` and kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
-import random
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, bounded, staged
 
-EDITS, MIN_CHARS = 1, 16
-#: The stage's threshold: one edit for so many characters of the longer line. Lines of up to SEGMENTED characters meet on
-#: segments; longer ones on BANDS pairs of minhashes.
-PER_EDIT, SEGMENTED, BANDS = 10, 49, 16
+MIN_CHARS = 16
+#: From so many characters of the longer line on, so many edits. More steps multiply the probes: about k ** 3 / 3 a line.
+LADDER = ((MIN_CHARS, 1), (96, 2))
+CROWD, FINE = 64, 4
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of the i-th (from 1) of edits + 1 segments of a line; the last ones take what is left over."""
-    parts = edits + 1
+def allowed(length: Column, ladder=LADDER) -> Column:
+    """The edits that a longer line of this length allows."""
+    out = F.lit(0)
+    for least, k in ladder:
+        out = F.when(length >= least, k).otherwise(out)
+    return out
+
+
+def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """Place (from 1) and size of the i-th (from 1) of so many segments of a line; the last ones take what is left over."""
     base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     before = F.greatest(F.lit(0), F.lit(i - 1 - parts) + extra)
     return F.lit(i - 1) * base + before + 1, base + F.when(F.lit(i) > F.lit(parts) - extra, 1).otherwise(0)
 
 
-def segment_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
-    """Index keys of a line, and the keys it probes for lines that are 0 to ``edits`` characters shorter."""
+def segment_keys(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
+    """Index keys of a line, and the keys it probes for lines that are 0 to ``k`` characters shorter."""
     key = lambda i, size, text: F.xxhash64(F.lit(i), size, text)
     index, probe = [], []
-    for shorter in range(edits + 1):
+    for shorter in range(k + 1):
         other = length - shorter
-        for i in range(1, edits + 2):
-            at, size = _segment(other, i, edits)
-            low = max(1 - i, shorter - (edits + 1 - i))
-            high = min(i - 1, shorter + (edits + 1 - i))
+        for i in range(1, k + 2):
+            at, size = _segment(other, i, k + 1)
+            low = max(1 - i, shorter - (k + 1 - i))
+            high = min(i - 1, shorter + (k + 1 - i))
             for shift in range(low, high + 1):
                 place = at + shift
                 made = F.when((place >= 1) & (place + size <= length + 1), key(i, other, F.substring(line, place, size)))
@@ -61,146 +67,191 @@ def segment_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list
     return index, probe
 
 
-def _minhashes(line: Column, length: Column) -> list[Column]:
-    """Keys of pairs of minhashes over pairs of words, or over four characters where a line has few blanks."""
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    some = lambda t, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(n))))
-    features = F.when(F.size(words) * 12 < length, some(F.split(line, ""), 4)).otherwise(some(words, 2))
-    rnd = random.Random(42)
-    masks = [rnd.getrandbits(64) - (1 << 63) for _ in range(2 * BANDS)]
-    # The hash nearest to a mask: features are held once, the lambda is applied to an array of one array.
-    nearest = lambda f, m: F.array_min(F.transform(f, lambda x: x.bitwiseXOR(F.lit(m))))
-    return F.transform(F.array(features), lambda f: F.array(*(F.xxhash64(F.lit(-1 - b), nearest(f, masks[2 * b]), nearest(f, masks[2 * b + 1])) for b in range(BANDS))))[0]
+def fine_keys(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
+    """The same for crowds: of k + ``FINE`` segments all but k must agree, each at a shift that k edits can cause."""
+    parts, index, probe = k + FINE, [], []
+    for shorter in range(k + 1):
+        other = length - shorter
+        cuts = [_segment(other, i, parts) for i in range(1, parts + 1)]
+        for broken in combinations(range(parts), k):
+            # Shifts change at broken segments only and end at the difference of the lengths.
+            for steps in product(range(-k, k + 1), repeat=k):
+                if sum(steps) != shorter or sum(map(abs, steps)) > k:
+                    continue
+                shift, whole = 0, []
+                for i, (at, size) in enumerate(cuts):
+                    if i in broken:
+                        shift += steps[broken.index(i)]
+                    else:
+                        whole.append(F.substring(line, at + shift, size))
+                made = F.xxhash64(F.lit(-1 - sum(1 << b for b in broken)), other, *whole)
+                (index if shorter == 0 and not any(steps) else probe).append(made)
+    return index, probe
 
 
-def scaled_keys(line: Column, length: Column) -> tuple[Column, Column]:
-    """Arrays of index and probe keys of a line whose threshold is a ``PER_EDIT``-th of the longer line's length."""
-    index, probe = [], []
-    for k in range(1, SEGMENTED // PER_EDIT + 1):
-        own, other = segment_keys(line, length, k)
-        most = k * PER_EDIT + PER_EDIT - 1
-        held = lambda x, least: F.when((length >= max(MIN_CHARS, least)) & (length <= most) & x.isNotNull(), F.xxhash64(F.lit(k), x))  # noqa: B023, E731
-        index += [held(x, k * PER_EDIT - k) for x in own]
-        probe += [held(x, k * PER_EDIT) for x in other]
-    index = F.when((length >= MIN_CHARS) & (length <= SEGMENTED), F.array(*index)).otherwise(F.array().cast("array<bigint>"))
-    probe = F.when((length >= MIN_CHARS) & (length <= SEGMENTED), F.array(*probe)).otherwise(F.array().cast("array<bigint>"))
-    longer = F.when(length >= SEGMENTED * 9 // 10, _minhashes(line, length)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(index, longer), probe
-
-
-def _lines(documents: DataFrame, every: bool = False) -> DataFrame:
-    """id, sig, place, line for every line that may be removed (``every``: short ones too)."""
+def line_keys(line: Column, length: Column, make, ladder=LADDER) -> Column:
+    """key, indexed: all keys of a line. A line a little below a step is indexed for the longer ones that probe it."""
+    out = []
+    for (least, k), end in zip(ladder, [s for s, _ in ladder[1:]] + [1 << 31]):
+        own, other = make(line, length, k)
+        for x, from_, indexed in [(x, least - k, True) for x in own] + [(x, least, False) for x in other]:
+            out.append(F.when((length >= max(MIN_CHARS, from_)) & (length < end) & x.isNotNull(), F.struct(F.xxhash64(F.lit(k), x).alias("key"), F.lit(indexed).alias("indexed"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def within(x: Column, y: Column, ladder=LADDER) -> Column:
+    """Whether two lines are near: their edit distance by bit-parallel columns of a band around the diagonal.
+
+    Bit b of column i stands for the shorter line's character i + b - k. ``vp`` and ``vn`` say where the distance grows or falls
+    down a column, ``d0`` where a cell equals its neighbour up the diagonal; each set bit on the last cell's diagonal saves
+    one of as many edits as the longer line has characters.
+    """
+    k = max(e for _, e in ladder)
+    full = (1 << (2 * k + 1)) - 1
+    n, m = F.greatest(F.char_length(x), F.char_length(y)), F.least(F.char_length(x), F.char_length(y))
+    longer = F.split(F.when(F.char_length(x) >= F.char_length(y), x).otherwise(y), "")
+    shorter = F.split(F.when(F.char_length(x) >= F.char_length(y), y).otherwise(x), "")
+    bit = lambda p, c, i, b: F.when(F.get(p, i + (b - k)) == c, F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
+
+    def masks(p: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            out = bit(p, c, i, 0)
+            for b in range(1, 2 * k + 1):
+                out = out.bitwiseOR(bit(p, c, i, b))
+            return out
+
+        return F.transform(longer, one)
+
+    def step(s: Column, pm: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        d0 = (pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(F.lit(full))
+
+        def after(d: Column) -> Column:
+            hp = vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp)))
+            down = F.shiftright(d, 1)
+            new = d.bitwiseAND(vp).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(F.lit(full))
+            hit = F.call_function("getbit", d, s["at"])
+            return F.struct(new.alias("vp"), down.bitwiseAND(hp).alias("vn"), s["at"].alias("at"), (s["hits"] + hit).alias("hits"))
+
+        return F.transform(F.array(d0), after)[0]
+
+    first = F.struct(F.lit(full - (1 << k) + 1).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (k - (n - m)).cast("int").alias("at"), F.lit(0).alias("hits"))
+    distance = n - F.aggregate(F.transform(F.array(shorter), masks)[0], first, step, lambda s: s["hits"])
+    return F.when(n - m <= allowed(n, ladder), distance <= allowed(n, ladder)).otherwise(False)
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """id, sig, place, line for every line that isn't blank."""
     text = F.col("text").cast("string")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("sig"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return rows.filter(F.col("line").rlike(r"\S") if every else F.char_length("line") >= MIN_CHARS)
+    return rows.filter(F.col("line").rlike(r"\S"))
+
+
+HASHES = [F.xxhash64, lambda x: F.xxhash64(F.lit(7), x)]
+
+
+def _hashed(line: str = "line") -> list[Column]:
+    return [make(F.col(line)).alias(name) for name, make in zip("hg", HASHES)]
 
 
-def removals(documents: DataFrame, edits: int | None = EDITS) -> DataFrame:
-    """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines.
+def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """first, line for the places of ``wanted`` (first)."""
+    wanted = wanted.select(F.col("first.id").alias("id"), F.col("first.sig").alias("sig"), F.col("first.place").alias("place")).distinct()
+    return _lines(documents).join(bounded(wanted), ["id", "sig", "place"], "left_semi").select(F.struct("id", "sig", "place").alias("first"), "line").dropDuplicates(["first"])
 
-    Without ``edits`` the threshold grows with the longer line's length, and equal lines go however short they are."""
-    scaled = edits is None
-    h = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g")]
+
+def _near(full: DataFrame, ladder) -> DataFrame:
+    """h, g of the lines of ``full`` (key, indexed, first, line, h, g) that have an earlier near line under a key."""
+    p, q = full.alias("p"), full.alias("q")
+    met = (F.col("p.key") == F.col("q.key")) & (F.col("q.first") < F.col("p.first")) & (F.col("p.indexed") | F.col("q.indexed"))
+    return p.join(q, met & within(F.col("p.line"), F.col("q.line"), ladder), "left_semi").select("h", "g")
+
+
+def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
+    """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines."""
     length = F.char_length("line")
-    if scaled:
-        index, probe = scaled_keys(F.col("line"), F.col("length"))
-    else:
-        index, probe = (F.array(*x) for x in segment_keys(F.col("line"), F.col("length"), edits))
-    rows = _lines(documents, scaled).withColumn("length", length).select("id", "sig", "place", *h, index.alias("index"), probe.alias("probe"))
-    distinct = staged(rows.groupBy("h", "g").agg(F.min(F.struct("id", "sig", "place")).alias("first"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
+    rows = _lines(documents).select("id", "sig", "place", *_hashed(), line_keys(F.col("line"), length, segment_keys, ladder).alias("keys"))
+    distinct = staged(rows.groupBy("h", "g").agg(F.min(F.struct("id", "sig", "place")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
 
     # At equal lengths a segment that stands where the index has it is its own probe.
-    def keys(extra: list[Column]) -> DataFrame:
-        own = F.transform("index", lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed")))
-        other = F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed")))
-        return distinct.select("h", *extra, F.explode(F.concat(own, other)).alias("k")).select("h", *extra, "k.*").filter("key is not null")
-
-    meeting = keys([]).groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("indexed").alias("any")).filter("any and a <> b").select("key")
-    meeting = staged(meeting, "segments")
-    close = staged(keys([F.col("g"), F.col("first")]).join(bounded(meeting), "key", "left_semi"), "near-lines")
-    wanted = close.select(F.col("first.id").alias("id"), F.col("first.sig").alias("sig"), F.col("first.place").alias("place")).distinct()
-    texts = _lines(documents).join(bounded(wanted), ["id", "sig", "place"], "left_semi").select(F.struct("id", "sig", "place").alias("first"), "line").dropDuplicates(["first"])
-    full = staged(close.join(texts, "first"), "near-texts")
-    p, q = full.alias("p"), full.alias("q")
-    near = (F.col("p.key") == F.col("q.key")) & (F.col("q.first") < F.col("p.first"))
-    if scaled:
-        most = f"int(greatest(char_length(p.line), char_length(q.line)) / {PER_EDIT})"
-        near = near & F.expr(f"abs(char_length(p.line) - char_length(q.line)) <= {most} and levenshtein(p.line, q.line, {most}) >= 0")
-    else:
-        near = near & (F.levenshtein(F.col("p.line"), F.col("q.line"), edits) >= 0)
-    later = p.join(q, near & (F.col("p.indexed") | F.col("q.indexed")), "left_semi").select("h", "g").distinct().withColumn("near", F.lit(True))
-    bad = distinct.select("h", "g", "first", "n").join(bounded(later), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    met = distinct.select("h", F.explode("keys").alias("k")).select("h", "k.*").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("indexed").alias("any"), F.count("*").alias("m"))
+    met = staged(met.filter("any and a <> b").select("key", (F.col("m") > CROWD).alias("crowd")), "segments")
+    close = staged(distinct.select("h", "g", "first", F.explode("keys").alias("k")).select("h", "g", "first", "k.*").join(bounded(met), "key"), "near-lines")
+    texts = staged(_fetch(documents, close), "near-texts")
+    few = close.filter("not crowd").join(texts, "first")
+    many = close.filter("crowd").select("h", "g", "first").distinct().join(texts, "first")
+    many = many.select("h", "g", "first", "line", F.explode(line_keys(F.col("line"), length, fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "k.*")
+    later = _near(few, ladder).union(_near(many, ladder)).distinct().withColumn("near", F.lit(True))
+    bad = distinct.select("h", "g", "first", "n").join(bounded(staged(later, "later")), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bad = staged(bad, "bad-lines")
-    places = _lines(documents, scaled).select("id", "sig", "place", *h)
+    places = _lines(documents).select("id", "sig", "place", *_hashed())
     gone = places.join(bounded(bad), ["h", "g"]).filter(F.col("near") | (F.struct("id", "sig", "place") != F.col("first")))
     return gone.groupBy("id", "sig").agg(F.collect_set(F.struct("place", "near")).alias("gone"))
 
 
-def _with_kept(documents: DataFrame, edits: int | None) -> DataFrame:
-    """``documents`` with _gone, and _kept: the text without its removed lines (or whole)."""
-    gone = staged(removals(documents, edits), "removed-lines")
-    text = F.col("text").cast("string")
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_sig", F.xxhash64(text))
-    gone = bounded(gone.select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.col("gone").alias("_gone")))
-    joined = keyed.join(gone, ["_id", "_sig"], "left")
-    out = F.map_from_entries(F.transform("_gone", lambda x: F.struct(x["place"], x["near"])))
+def _with_kept(documents: DataFrame, ladder) -> DataFrame:
+    """row (the document), gone, whole, and kept: the text without its removed lines (or whole)."""
+    gone = staged(removals(documents, ladder), "removed-lines")
+    text = F.col("row.text").cast("string")
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    keyed = keyed.withColumn("id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID))).withColumn("sig", F.xxhash64(text))
+    joined = keyed.join(bounded(gone), ["id", "sig"], "left")
+    out = F.map_from_entries(F.transform("gone", lambda x: F.struct(x["place"], x["near"])))
     stay = F.transform(F.array(out), lambda m: F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.map_contains_key(m, i)), "\n"))[0]
-    joined = joined.withColumn("_rest", F.when(F.col("_gone").isNotNull(), stay))
-    whole = F.col("_gone").isNull() | ~F.col("_rest").rlike(r"\S")
-    return joined.withColumn("_whole", whole).withColumn("_kept", F.when(whole, text).otherwise(F.col("_rest")))
+    joined = joined.withColumn("rest", F.when(F.col("gone").isNotNull(), stay))
+    whole = F.col("gone").isNull() | ~F.col("rest").rlike(r"\S")
+    return joined.select("row", "gone", whole.alias("whole"), F.when(whole, text).otherwise(F.col("rest")).alias("kept"))
 
 
-def line_report(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_report(documents: DataFrame, ladder=LADDER) -> DataFrame:
     """doc_id, n_lines, n_equal and n_near (lines removed), left_whole, kept_sha256 (of the text that is left)."""
-    made = _with_kept(documents, edits)
-    lost = F.when(~F.col("_whole"), F.col("_gone"))
+    made = _with_kept(documents, ladder)
+    lost = F.when(~F.col("whole"), F.col("gone"))
     count = lambda near: F.coalesce(F.size(F.filter(lost, lambda x: x["near"] == F.lit(near))), F.lit(0)).cast("long")
     return made.select(
-        F.col("doc_id").cast("long"),
-        F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.size(F.split(F.col("row.text").cast("string"), "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(lost.isNull(), F.lit(0)).otherwise(count(False)).cast("long").alias("n_equal"),
         F.when(lost.isNull(), F.lit(0)).otherwise(count(True)).cast("long").alias("n_near"),
-        (F.col("_whole") & F.col("_gone").isNotNull()).alias("left_whole"),
-        F.sha2(F.coalesce(F.col("_kept"), F.lit("")), 256).alias("kept_sha256"),
+        (F.col("whole") & F.col("gone").isNotNull()).alias("left_whole"),
+        F.sha2(F.coalesce(F.col("kept"), F.lit("")), 256).alias("kept_sha256"),
     )
 
 
-def dedup_lines(documents: DataFrame, edits: int | None = None) -> DataFrame:
-    """``documents`` without the removed lines (threshold by length, see ``removals``); all rows and columns stay (``n_chars``, where there is one, counts the new text)."""
-    made = _with_kept(documents, edits)
-    columns = [F.col("_kept").alias("text") if c == "text" else F.when(F.col("_whole"), F.col(c)).otherwise(F.char_length("_kept")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return made.select(*columns)
+def dedup_lines(documents: DataFrame, ladder=LADDER) -> DataFrame:
+    """``documents`` without the removed lines; all rows and columns stay (``n_chars``, where there is one, counts the new text)."""
+    made = _with_kept(documents, ladder)
+    counted = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.char_length("kept")) if "n_chars" in documents.columns else None
+    new = {"text": F.col("kept"), "n_chars": counted}
+    return made.select(*((new[c].cast(documents.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
 
 
-#: DuckDB SQL for ``line_report`` with the defaults: two halves, one edit.
-REPORT_SQL = """
+#: DuckDB SQL for ``line_report`` with the defaults. Its edit distance counts bytes, so each letter beyond ASCII becomes a control
+#: character first (right for up to 28 different ones; the tables hold 25).
+REPORT_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place
   FROM documents WHERE text IS NOT NULL
-), long AS (SELECT * FROM lines WHERE length(line) >= 16),
-first AS (SELECT line, min((doc_id, place)) AS pos, length(line) AS len, left(line, length(line) // 2) AS head,
-                 right(line, length(line) - length(line) // 2) AS tail FROM long GROUP BY line),
-pairs AS (
-  SELECT a.line AS x, b.line AS y, a.pos AS px, b.pos AS py FROM first a JOIN first b ON a.head = b.head AND a.line < b.line AND abs(a.len - b.len) <= 1
-  UNION SELECT a.line, b.line, a.pos, b.pos FROM first a JOIN first b ON a.tail = b.tail AND a.line < b.line AND abs(a.len - b.len) <= 1
-  UNION SELECT a.line, b.line, a.pos, b.pos FROM first a JOIN first b ON a.head = left(b.line, a.len // 2) AND a.len = b.len - 1 AND a.line <> b.line
-  UNION SELECT a.line, b.line, a.pos, b.pos FROM first a JOIN first b ON a.tail = right(b.line, a.len - a.len // 2) AND a.len = b.len - 1 AND a.line <> b.line
-), ordered AS (
-  SELECT CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS t,
-         CASE WHEN px < py THEN y ELSE x END AS later FROM pairs
+), words AS (SELECT * FROM lines WHERE regexp_matches(line, '\S')),
+letters AS (
+  SELECT string_agg(c, '' ORDER BY c) AS wide FROM (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\x00-\x7F]')) AS c FROM lines)
+), narrow AS (
+  SELECT string_agg(chr(i::INT), '' ORDER BY i) AS thin FROM range(1, 32) AS r(i) WHERE i NOT IN (9, 10, 13)
+), first AS (
+  SELECT line, min((doc_id, place)) AS pos, length(line) AS len, any_value(translate(line, wide, thin[1:length(wide)])) AS thin
+  FROM words, letters, narrow GROUP BY line
 ), near AS (
-  SELECT DISTINCT later AS line FROM ordered
-  WHERE list_contains(list_transform(range(1, length(t) + 1),
-    lambda i: left(s, i - 1) = left(t, i - 1) AND substr(t, i + 1) = substr(s, CASE WHEN length(s) = length(t) THEN i + 1 ELSE i END)), true)
+  SELECT DISTINCT b.line FROM first a JOIN first b ON a.pos < b.pos AND greatest(a.len, b.len) >= 16
+    AND a.len BETWEEN b.len - 2 AND b.len + 2 AND least(a.len, b.len) >= 16
+  WHERE levenshtein(a.thin, b.thin) <= CASE WHEN greatest(a.len, b.len) >= 96 THEN 2 ELSE 1 END
 ), marked AS (
-  SELECT l.doc_id, l.place, l.line, length(l.line) >= 16 AND n.line IS NOT NULL AS near,
-         length(l.line) >= 16 AND n.line IS NULL AND (l.doc_id, l.place) <> f.pos AS equal
+  SELECT l.doc_id, l.place, l.line, n.line IS NOT NULL AS near, n.line IS NULL AND (l.doc_id, l.place) <> f.pos AS equal
   FROM lines l LEFT JOIN first f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
 ), made AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal) AS n_equal, count(*) FILTER (WHERE near) AS n_near,
          coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT (coalesce(near, false) OR coalesce(equal, false))), '') AS rest
   FROM marked GROUP BY doc_id
-), told AS (SELECT *, n_equal + n_near > 0 AND NOT regexp_matches(rest, '\\S') AS whole FROM made)
+), told AS (SELECT *, n_equal + n_near > 0 AND NOT regexp_matches(rest, '\S') AS whole FROM made)
 SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, CASE WHEN t.whole THEN 0 ELSE coalesce(t.n_equal, 0) END::BIGINT AS n_equal,
        CASE WHEN t.whole THEN 0 ELSE coalesce(t.n_near, 0) END::BIGINT AS n_near, coalesce(t.whole, false) AS left_whole,
        sha256(CASE WHEN t.whole OR t.doc_id IS NULL THEN coalesce(d.text, '') ELSE t.rest END) AS kept_sha256

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, bounded_batches, drop_staged, staged, text_chunks
-from ._winnow import BASE, _mix, _powers, anchors
+from ._winnow import BASE, _mix, anchors, range_hashes
 
 LENGTH, GRAM = 200, 48
 SIDE = LENGTH - GRAM  # how far a string of LENGTH bytes can reach before its anchor
@@ -43,10 +43,7 @@ KEY = "doc_id long, sig long"
 
 def _context_hashes(buf: np.ndarray, low: np.ndarray, high: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Hashes of buf[low:high] and of where the anchor lies in it."""
-    up, down = _powers(1 << max(16, len(buf).bit_length()))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(7)) * up[: len(buf)], out=sums[1:])
-    h = (sums[high] - sums[low]) * down[low]
+    h = range_hashes(buf, low, high)
     return _mix(h + (high - low).astype(np.uint64) * np.uint64(BASE >> 3) + where.astype(np.uint64) * np.uint64(BASE >> 7))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._bpe_core import BatchEncoder, byte_alphabet
+from ._bpe_core import SLICE, BatchEncoder, byte_alphabet
 from ._common import bounded_batches, shared_dir, text_chunks
 
 MAGIC = b"EFTB"
@@ -157,7 +157,7 @@ def write_store(documents: DataFrame, tokenizer_path: str, end_id: int, block_id
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())])
         for batch in batches:
-            for keys, buf, offsets in text_chunks(batch):
+            for keys, buf, offsets in text_chunks(batch, limit=SLICE):
                 ids, at = encoder(buf, offsets)
                 n = len(at) - 1
                 grown = np.empty(len(ids) + n, np.int32)
