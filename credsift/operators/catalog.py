@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Expressions sent to every task at a time.
+BLOCK = 2_000
 SCHEMA = "pos int, id string, kind string, strategy string, value string, verdict string"
 
 
@@ -37,7 +41,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def lookup(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """``findings`` with catalog_id and catalog_verdict (null where no entry knows the value).
 
-    Values are looked up once each. The catalogue is a small file by nature; expressions are tried in file order.
+    Values are looked up once each. Expressions are tried in file order, in blocks of at most ``BLOCK`` that every task holds;
+    exact values and hashes are joined, whatever their number.
     """
     values = findings.select("match").distinct()
     pick = lambda order: F.expr(f"max_by(struct(id, verdict), {order}pos)")
@@ -46,6 +51,8 @@ def lookup(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     known = values.join(exact, values["match"] == exact["value"], "left").drop("value")
     known = known.join(hashed, F.sha2("match", 256) == hashed["value"], "left").drop("value")
     rules = catalog.filter("strategy = 'regex'")
-    by_rule = values.join(rules, F.expr("rlike(match, value)")).groupBy("match").agg(pick("-").alias("r"))
+    blocks = max(1, -(-rules.count() // BLOCK))
+    dealt = [rules if blocks == 1 else rules.filter(F.pmod("pos", F.lit(blocks)) == i) for i in range(blocks)]
+    by_rule = reduce(DataFrame.union, (values.join(F.broadcast(r), F.expr("rlike(match, value)")) for r in dealt)).groupBy("match").agg(pick("-").alias("r"))
     known = known.join(by_rule, "match", "left").withColumn("c", F.coalesce("e", "h", "r"))
     return findings.join(known.select("match", F.col("c.id").alias("catalog_id"), F.col("c.verdict").alias("catalog_verdict")), "match", "left")

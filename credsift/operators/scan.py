@@ -6,6 +6,9 @@ never become rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +26,20 @@ def _worth(line: Column, rows: tuple[Pattern, ...]) -> Column:
 
 
 def candidate_lines(files: DataFrame, context: int = CONTEXT_LINES, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """path, line, text, context, pragmas (of this line and the one before) for lines that some pattern matches."""
+    """path, line, text, context, pragmas (of this line and the one before) for lines that some pattern matches.
+
+    Hits become small rows within the file's own row; the array of all its lines isn't carried beside each.
+    """
     rows = rows or patterns()
-    lined = with_lines(files)
-    at = F.col("at")
-    hits = F.filter(F.transform("lines", lambda x, i: F.when(_worth(x, rows), i)), lambda i: i.isNotNull())
-    found = lined.select("path", "lines", F.explode(hits).alias("at"))
-    window = F.slice("lines", F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)) + context + 1)
     line = lambda i: F.get("lines", i)
-    return found.select("path", (at + 1).alias("line"), line(at).alias("text"), window.alias("context"), F.concat(pragmas(line(at)), pragmas(F.coalesce(line(at - 1), F.lit("")))).alias("pragmas"))
+
+    def hit(at: Column) -> Column:
+        window = F.slice("lines", F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)) + context + 1)
+        named = F.concat(pragmas(line(at)), pragmas(F.coalesce(line(at - 1), F.lit(""))))
+        return F.struct((at + 1).alias("line"), line(at).alias("text"), window.alias("context"), named.alias("pragmas"))
+
+    at = F.filter(F.transform("lines", lambda x, i: F.when(_worth(x, rows), i)), lambda i: i.isNotNull())
+    return with_lines(files).select("path", F.inline(F.transform(at, hit)))
 
 
 def pragmas(line: Column, tag: str = TAG) -> Column:
@@ -41,9 +49,12 @@ def pragmas(line: Column, tag: str = TAG) -> Column:
 
 def _matches(line: Column, p: Pattern) -> Column:
     """Every match of a pattern: its value, and the byte (from 1) at which that starts."""
-    gap = F.lit(f"(?U){p.gap}")
-    whole, before, value = (F.regexp_extract_all(line, gap, F.lit(i)) for i in range(3))
-    size = F.transform(whole, lambda x: F.octet_length(x))
+    gap = F.lit(p.chained)
+    before, value = (F.regexp_extract_all(line, gap, F.lit(i)) for i in (1, 2))
+    if p.ends_with_value:
+        size = F.zip_with(before, value, lambda b, v: F.octet_length(b) + F.octet_length(v))
+    else:
+        size = F.transform(F.regexp_extract_all(line, gap, F.lit(0)), lambda x: F.octet_length(x))
     zipped = F.arrays_zip(before.alias("before"), value.alias("value"))
 
     def place(sizes: Column) -> Column:
@@ -55,7 +66,10 @@ def _matches(line: Column, p: Pattern) -> Column:
 
     found = F.transform(F.array(size), place)[0]
     none = F.array().cast("array<struct<column:int,match:string,pattern:string,pattern_ord:int,severity:string>>")
-    return F.when(line.rlike(p.java), found).otherwise(none)
+    there = line.rlike(p.java)
+    if p.literals:
+        there = reduce(or_, (F.contains(line, F.lit(x)) for x in p.literals)) & there
+    return F.when(there, found).otherwise(none)
 
 
 def extract(lines: DataFrame, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
@@ -65,12 +79,17 @@ def extract(lines: DataFrame, rows: tuple[Pattern, ...] | None = None) -> DataFr
     return lines.select(*keep, F.inline(every)).filter(F.length("match") > 0)
 
 
-def scan(files: DataFrame, context: int = CONTEXT_LINES, suppress: bool = True, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """Findings of files (path, text): path, line, column, match, pattern, pattern_ord, severity, context."""
-    found = extract(candidate_lines(files, context, rows), rows)
+def scan(files: DataFrame, context: int = CONTEXT_LINES, suppress: bool = True, rows: tuple[Pattern, ...] | None = None, keep_hushed: bool = False) -> DataFrame:
+    """Findings of files (path, text): path, line, column, match, pattern, pattern_ord, severity, context; with ``keep_hushed`` also whether a comment hushes them."""
+    found = extract(candidate_lines(files, context, rows), rows).withColumn("hushed", F.exists("pragmas", lambda x: (x == "") | (x == F.col("pattern"))))
     if suppress:
-        found = found.filter(~F.exists("pragmas", lambda x: (x == "") | (x == F.col("pattern"))))
-    return found.select(*FINDING)
+        found = found.filter("not hushed")
+    return found.select(*FINDING, "hushed") if keep_hushed else found.select(*FINDING)
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings by path (folder by folder), line and column; of equals in the order of the patterns."""
+    return findings.orderBy(F.split("path", "/"), "line", "column", "pattern_ord")
 
 
 def scan_history(added: DataFrame, rows: tuple[Pattern, ...] | None = None) -> DataFrame:

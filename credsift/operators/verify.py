@@ -7,6 +7,8 @@ value is asked about once for each provider, whatever the number of its findings
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,13 +74,27 @@ def judge(findings: DataFrame, responses: DataFrame) -> DataFrame:
     return findings.join(best, ["pattern", "match"], "left").select("*", F.col("b.provider").alias("provider"), "b.o.status", "b.o.status_reason", "b.o.meta").drop("b")
 
 
+#: Provider, what a line with a host holds, and the host (group 1). Runs of name characters are entered at their start
+#: and never again, so a line of any length is read once.
+HOSTS = {
+    "shopify": ([".myshopify.com"], r"(?<![a-zA-Z0-9-])-*+([a-zA-Z0-9][a-zA-Z0-9-]*+\.myshopify\.com)"),
+    "databricks": ([".cloud.databricks.com", ".azuredatabricks.net"], r"((?<![a-zA-Z0-9-])[a-zA-Z0-9-]++\.cloud\.databricks\.com|adb-[0-9]++\.[0-9]++\.azuredatabricks\.net)"),
+}
+
+
 def tenant_hosts(findings: DataFrame) -> DataFrame:
     """provider, host: the first host of each tenant provider, by the order of findings and of lines in them."""
-    regexes = {"shopify": r"([a-zA-Z0-9][a-zA-Z0-9-]*\.myshopify\.com)", "databricks": r"([a-zA-Z0-9-]+\.cloud\.databricks\.com|adb-[0-9]+\.[0-9]+\.azuredatabricks\.net)"}
-    text = F.concat_ws("\n", F.array_join("context", "\n"), F.col("match"))
+    lines = F.concat(F.coalesce("context", F.array().cast("array<string>")), F.array("match"))
+
+    def first(name: str) -> Column:
+        marks, regex = HOSTS[name]
+        some = F.filter(lines, lambda x: reduce(or_, (F.contains(x, F.lit(m)) for m in marks)))
+        found = F.filter(F.transform(some, lambda x: F.regexp_extract(x, regex, 1)), lambda h: h != "")
+        return F.struct(F.lit(name).alias("provider"), F.get(found, F.lit(0)).alias("host"))
+
     place = F.struct("path", "line", "column", "pattern_ord")
-    parts = [findings.select(F.lit(name).alias("provider"), F.regexp_extract(text, regex, 1).alias("host"), place.alias("place")).filter("host <> ''") for name, regex in regexes.items()]
-    return parts[0].union(parts[1]).groupBy("provider").agg(F.min_by("host", "place").alias("host"))
+    rows = findings.select(place.alias("place"), F.inline(F.array(*map(first, HOSTS)))).filter("host is not null")
+    return rows.groupBy("provider").agg(F.min_by("host", "place").alias("host"))
 
 
 def paired_values(findings: DataFrame) -> DataFrame:

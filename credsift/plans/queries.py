@@ -15,6 +15,7 @@ from ..operators.scan import candidate_lines, pragmas, scan, scan_history
 from ..sources.corpus import corpus, documents_as_files
 from ..sources.files import MAX_LINE_BYTES, doc_lines, scannable
 from ..sources.git_patch import added_lines, split_commits
+from ..sources.store import written
 from . import oracles
 
 SALT = b"credsift-query-salt-0123456789ab"
@@ -30,6 +31,11 @@ def found(spark, sf_dir) -> DataFrame:
     return scan(files(spark, sf_dir))
 
 
+def kept(spark, sf_dir) -> DataFrame:
+    """The findings, written once: files are read and matched a single time, whatever is built on the few rows that come out."""
+    return written(found(spark, sf_dir), "findings")
+
+
 def responses(findings: DataFrame) -> DataFrame:
     """Answers that follow from each value's digest, in place of a network."""
     asked = findings.join(F.broadcast(verify.verifier_frame(findings.sparkSession)), "pattern").filter(F.col("provider") != verify.FALLBACK).select("provider", "match").distinct()
@@ -39,20 +45,19 @@ def responses(findings: DataFrame) -> DataFrame:
     return asked.select("provider", "match", code.cast("int").alias("http_status"), body.alias("body"), F.when(d >= "c", F.lit("timed out")).alias("error"))
 
 
-def judged(spark, sf_dir) -> DataFrame:
-    rows = found(spark, sf_dir)
+def judged(rows: DataFrame) -> DataFrame:
     return verify.judge(rows, responses(rows))
 
 
 def full(spark, sf_dir) -> DataFrame:
-    """Findings with fingerprint, outcome, catalogue entry and verdict."""
-    rows = catalog.lookup(judged(spark, sf_dir), catalog.catalog_frame(spark))
-    return classify(rows.withColumn("fingerprint", fn.fingerprint(F.col("match"), SALT)))
+    """Findings with fingerprint, outcome, catalogue entry and verdict, written once."""
+    rows = catalog.lookup(judged(kept(spark, sf_dir)), catalog.catalog_frame(spark))
+    return written(classify(rows.withColumn("fingerprint", fn.fingerprint(F.col("match"), SALT))), "judged")
 
 
-def old_baseline(spark, sf_dir) -> DataFrame:
-    """A baseline as an earlier run may have left it, from a part of the values."""
-    rows = full(spark, sf_dir).groupBy("fingerprint").agg(F.min("pattern").alias("kind")).filter(F.substring(F.md5(F.col("fingerprint").cast("binary")), 1, 1) < "8")
+def old_baseline(rows: DataFrame) -> DataFrame:
+    """A baseline as an earlier run may have left it, from a part of the values of ``full`` findings."""
+    rows = rows.groupBy("fingerprint").agg(F.min("pattern").alias("kind")).filter(F.substring(F.md5(F.col("fingerprint").cast("binary")), 1, 1) < "8")
     d = F.substring(F.md5(F.col("fingerprint").cast("binary")), 2, 1)
     return rows.select(
         "fingerprint", "kind", F.lit("old").alias("key_preview"), F.when(d < "4", "rotated").when(d < "8", "ignored").otherwise("active").alias("status"),
@@ -93,7 +98,7 @@ def pattern_counts(spark, sf_dir):
 
 
 def overlaps(spark, sf_dir):
-    rows = found(spark, sf_dir).select("path", "line", "match", "pattern", "pattern_ord")
+    rows = kept(spark, sf_dir).select("path", "line", "match", "pattern", "pattern_ord")
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, ["path", "line", "match"]).filter("a.pattern_ord < b.pattern_ord").groupBy(F.col("a.pattern").alias("first_pattern"), F.col("b.pattern").alias("second_pattern")).agg(F.count("*").alias("n"))
 
@@ -104,7 +109,8 @@ def prefilter(spark, sf_dir):
 
 
 def suppressed(spark, sf_dir):
-    return plain(scan(files(spark, sf_dir), suppress=False)).drop("pattern_ord", "context").exceptAll(plain(found(spark, sf_dir)).drop("pattern_ord", "context"))
+    every = scan(files(spark, sf_dir), suppress=False, keep_hushed=True)
+    return every.filter("hushed").select("path", "line", "column", "match", "pattern", "severity")
 
 
 def pragma_rows(spark, sf_dir):
@@ -126,7 +132,7 @@ def fingerprints(spark, sf_dir):
 
 
 def catalog_hits(spark, sf_dir):
-    return catalog.lookup(found(spark, sf_dir), catalog.catalog_frame(spark)).filter("catalog_id is not null").groupBy("catalog_id", "catalog_verdict", "pattern").agg(F.count("*").alias("n"))
+    return catalog.lookup(kept(spark, sf_dir), catalog.catalog_frame(spark)).filter("catalog_id is not null").groupBy("catalog_id", "catalog_verdict", "pattern").agg(F.count("*").alias("n"))
 
 
 def classify_ladder(spark, sf_dir):
@@ -150,7 +156,8 @@ def per_path(spark, sf_dir):
 
 
 def exit_codes(spark, sf_dir):
-    return report.exit_codes(full(spark, sf_dir), old_baseline(spark, sf_dir))
+    rows = full(spark, sf_dir)
+    return report.exit_codes(rows, old_baseline(rows))
 
 
 def pattern_dim(spark, sf_dir):
@@ -174,7 +181,7 @@ def verify_outcomes(spark, sf_dir):
 
 
 def best_outcome(spark, sf_dir):
-    return judged(spark, sf_dir).select("path", "line", "column", "pattern", "provider", "status", "status_reason")
+    return judged(kept(spark, sf_dir)).select("path", "line", "column", "pattern", "provider", "status", "status_reason")
 
 
 def hosts(spark, sf_dir):
@@ -186,7 +193,8 @@ def paired(spark, sf_dir):
 
 
 def merged(spark, sf_dir):
-    return base.merge(old_baseline(spark, sf_dir), full(spark, sf_dir), NOW)
+    rows = full(spark, sf_dir)
+    return base.merge(old_baseline(rows), rows, NOW)
 
 
 def merged_first(spark, sf_dir):
@@ -194,15 +202,18 @@ def merged_first(spark, sf_dir):
 
 
 def baseline_new(spark, sf_dir):
-    return base.new_findings(full(spark, sf_dir), old_baseline(spark, sf_dir)).select("path", "line", "column", "pattern", "fingerprint")
+    rows = full(spark, sf_dir)
+    return base.new_findings(rows, old_baseline(rows)).select("path", "line", "column", "pattern", "fingerprint")
 
 
 def baseline_present(spark, sf_dir):
-    return base.present(old_baseline(spark, sf_dir), full(spark, sf_dir)).select("fingerprint", "status", "ever_verified")
+    rows = full(spark, sf_dir)
+    return base.present(old_baseline(rows), rows).select("fingerprint", "status", "ever_verified")
 
 
 def baseline_stats(spark, sf_dir):
-    return base.diff_stats(full(spark, sf_dir), old_baseline(spark, sf_dir))
+    rows = full(spark, sf_dir)
+    return base.diff_stats(rows, old_baseline(rows))
 
 
 def history(spark, sf_dir):

@@ -19,7 +19,7 @@ SELECT path, concat(head, chr(10), body, chr(10), tail) AS text FROM (
       WHEN 3 THEN concat('docs/setup_', k, '.md') WHEN 4 THEN concat('infra/values_', k, '.yaml') WHEN 5 THEN concat('svc_', k, '/.env.local')
       WHEN 6 THEN concat('bin/blob_', k, '.png') WHEN 7 THEN concat('lib/x_', k, '.js') ELSE concat('.claude/worktrees/w/x_', k, '.rb') END AS path,
     CASE WHEN k % 11 = 0 THEN concat('# credsift', ':allow') WHEN k % 13 = 0 THEN concat('# credsift', ':allow secret_assignment reason="known"') ELSE concat('# file ', k) END AS head,
-    CASE k % 19
+    CASE k % 21
       WHEN 0 THEN concat('aws_access_key_id = "AK', 'IA', upper(substr(h, 1, 16)), '"')
       WHEN 1 THEN concat('STRIPE_KEY: sk', '_live_', substr(h, 1, 24))
       WHEN 2 THEN concat('token=gh', 'p_', h, substr(h, 1, 8))
@@ -38,6 +38,8 @@ SELECT path, concat(head, chr(10), body, chr(10), tail) AS text FROM (
       WHEN 15 THEN concat('two AK', 'IA', upper(substr(h, 1, 16)), ' and AK', 'IA', upper(substr(h, 5, 16)), ' end')
       WHEN 16 THEN concat(repeat('x', 9000), ' AK', 'IA', upper(substr(h, 1, 16)))
       WHEN 17 THEN concat('api_key = "', substr(h, 1, 20), '"  # from_secret')
+      WHEN 18 THEN concat('aws_secret_access', '_key = "', h, substr(h, 1, 8), '"')
+      WHEN 19 THEN concat('aws_session', '_token: ', h, h, h, h)
       ELSE concat('secret = "prod/', substr(h, 1, 8), '/db-password"') END AS body,
     CASE k % 5
       WHEN 0 THEN concat('passwd: "', substr(h, 9, 14), '"', chr(13)) WHEN 1 THEN concat('shop: acme-', k % 7, '.myshopify.com shp', 'at_', h)
