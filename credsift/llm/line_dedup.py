@@ -43,60 +43,53 @@ def allowed(length: Column, ladder=LADDER) -> Column:
     return out
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of the i-th (from 1) of so many segments of a line; the last ones take what is left over."""
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    before = F.greatest(F.lit(0), F.lit(i - 1 - parts) + extra)
-    return F.lit(i - 1) * base + before + 1, base + F.when(F.lit(i) > F.lit(parts) - extra, 1).otherwise(0)
+def _specs(make, ladder=LADDER) -> str:
+    """SQL for the keys to make of a line, a struct for each: see ``line_keys``."""
+    rows = []
+    for (least, k), end in zip(ladder, [s for s, _ in ladder[1:]] + [1 << 31]):
+        for indexed, shorter, parts, tag, whole in make(k):
+            # A line a little below a step is indexed for the longer ones that probe it.
+            low = max(MIN_CHARS, least - k if indexed else least)
+            some = ", ".join(f"struct({i} as i, {shift} as shift)" for i, shift in whole)
+            rows.append(f"struct({k} as k, {low} as low, {end}L as end, {str(indexed).lower()} as indexed, {shorter} as shorter, {parts} as parts, {tag} as tag, array({some}) as whole)")
+    return f"array({', '.join(rows)})"
 
 
-def segment_keys(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
-    """Index keys of a line, and the keys it probes for lines that are 0 to ``k`` characters shorter."""
-    key = lambda i, size, text: F.xxhash64(F.lit(i), size, text)
-    index, probe = [], []
+def segment_keys(k: int):
+    """(indexed, characters shorter, segments, tag, (segment, shift)s): a line's own segments, and those it probes for lines up to ``k`` shorter."""
     for shorter in range(k + 1):
-        other = length - shorter
         for i in range(1, k + 2):
-            at, size = _segment(other, i, k + 1)
-            low = max(1 - i, shorter - (k + 1 - i))
-            high = min(i - 1, shorter + (k + 1 - i))
+            low, high = max(1 - i, shorter - (k + 1 - i)), min(i - 1, shorter + (k + 1 - i))
             for shift in range(low, high + 1):
-                place = at + shift
-                made = F.when((place >= 1) & (place + size <= length + 1), key(i, other, F.substring(line, place, size)))
-                (index if shorter == 0 and shift == 0 else probe).append(made)
-    return index, probe
+                yield shorter == 0 and shift == 0, shorter, k + 1, i, [(i, shift)]
 
 
-def fine_keys(line: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
+def fine_keys(k: int):
     """The same for crowds: of k + ``FINE`` segments all but k must agree, each at a shift that k edits can cause."""
-    parts, index, probe = k + FINE, [], []
+    parts = k + FINE
     for shorter in range(k + 1):
-        other = length - shorter
-        cuts = [_segment(other, i, parts) for i in range(1, parts + 1)]
-        for broken in combinations(range(parts), k):
+        for broken in combinations(range(1, parts + 1), k):
             # Shifts change at broken segments only and end at the difference of the lengths.
             for steps in product(range(-k, k + 1), repeat=k):
                 if sum(steps) != shorter or sum(map(abs, steps)) > k:
                     continue
-                shift, whole = 0, []
-                for i, (at, size) in enumerate(cuts):
-                    if i in broken:
-                        shift += steps[broken.index(i)]
-                    else:
-                        whole.append(F.substring(line, at + shift, size))
-                made = F.xxhash64(F.lit(-1 - sum(1 << b for b in broken)), other, *whole)
-                (index if shorter == 0 and not any(steps) else probe).append(made)
-    return index, probe
-
-
-def line_keys(line: Column, length: Column, make, ladder=LADDER) -> Column:
-    """key, indexed: all keys of a line. A line a little below a step is indexed for the longer ones that probe it."""
-    out = []
-    for (least, k), end in zip(ladder, [s for s, _ in ladder[1:]] + [1 << 31]):
-        own, other = make(line, length, k)
-        for x, from_, indexed in [(x, least - k, True) for x in own] + [(x, least, False) for x in other]:
-            out.append(F.when((length >= max(MIN_CHARS, from_)) & (length < end) & x.isNotNull(), F.struct(F.xxhash64(F.lit(k), x).alias("key"), F.lit(indexed).alias("indexed"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                whole = [(i, sum(s for b, s in zip(broken, steps) if b < i)) for i in range(1, parts + 1) if i not in broken]
+                yield shorter == 0 and not any(steps), shorter, parts, -sum(1 << b for b in broken), whole
+
+
+def line_keys(make, ladder=LADDER) -> Column:
+    """key, indexed: all keys of the column ``line``. Of so many segments of a line (or of a shorter one, probed) some are hashed.
+
+    Segments are as even as can be, the last ones taking what is left over. The work to do is a constant array, not unrolled.
+    """
+    other = "(char_length(line) - p.shorter)"
+    base, extra = f"cast(floor({other} / p.parts) as int)", f"({other} % p.parts)"
+    place = f"((w.i - 1) * {base} + greatest(0, w.i - 1 - p.parts + {extra}) + 1 + w.shift)"
+    size = f"({base} + if(w.i > p.parts - {extra}, 1, 0))"
+    inside = f"forall(p.whole, w -> {place} >= 1 and {place} + {size} <= char_length(line) + 1)"
+    key = f"xxhash64(p.k, p.tag, {other}, transform(p.whole, w -> substring(line, {place}, {size})))"
+    use = f"char_length(line) >= p.low and char_length(line) < p.end and {inside}"
+    return F.expr(f"transform(filter({_specs(make, ladder)}, p -> {use}), p -> struct({key} as key, p.indexed as indexed))")
 
 
 def within(x: Column, y: Column, ladder=LADDER) -> Column:
@@ -169,8 +162,7 @@ def _near(full: DataFrame, ladder) -> DataFrame:
 
 def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
     """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines."""
-    length = F.char_length("line")
-    rows = _lines(documents).select("id", "sig", "place", *_hashed(), line_keys(F.col("line"), length, segment_keys, ladder).alias("keys"))
+    rows = _lines(documents).select("id", "sig", "place", *_hashed(), line_keys(segment_keys, ladder).alias("keys"))
     distinct = staged(rows.groupBy("h", "g").agg(F.min(F.struct("id", "sig", "place")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
 
     # At equal lengths a segment that stands where the index has it is its own probe.
@@ -180,7 +172,7 @@ def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
     texts = staged(_fetch(documents, close), "near-texts")
     few = close.filter("not crowd").join(texts, "first")
     many = close.filter("crowd").select("h", "g", "first").distinct().join(texts, "first")
-    many = many.select("h", "g", "first", "line", F.explode(line_keys(F.col("line"), length, fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "k.*")
+    many = many.select("h", "g", "first", "line", F.explode(line_keys(fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "k.*")
     later = _near(few, ladder).union(_near(many, ladder)).distinct().withColumn("near", F.lit(True))
     bad = distinct.select("h", "g", "first", "n").join(bounded(staged(later, "later")), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bad = staged(bad, "bad-lines")
