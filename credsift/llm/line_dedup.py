@@ -43,63 +43,84 @@ def allowed(length: Column, ladder=LADDER) -> Column:
     return out
 
 
-def _specs(make, ladder=LADDER) -> str:
-    """SQL for the keys to make of a line, a struct for each: see ``line_keys``."""
-    rows = []
-    for (least, k), end in zip(ladder, [s for s, _ in ladder[1:]] + [1 << 31]):
-        for indexed, shorter, parts, tag, whole in make(k):
-            # A line a little below a step is indexed for the longer ones that probe it.
-            low = max(MIN_CHARS, least - k if indexed else least)
-            some = ", ".join(f"struct({i} as i, {shift} as shift)" for i, shift in whole)
-            rows.append(f"struct({k} as k, {low} as low, {end}L as end, {str(indexed).lower()} as indexed, {shorter} as shorter, {parts} as parts, {tag} as tag, array({some}) as whole)")
-    return f"array({', '.join(rows)})"
+def _cut(j: int, other: str, parts: int) -> str:
+    """The characters of the first j of so many even segments."""
+    return f"cast({j} * {other} div {parts} as int)" if 0 < j < parts else other if j else "0"
+
+
+def _segment(i: int, other: str, parts: int, shift: int) -> str:
+    before = _cut(i - 1, other, parts)
+    return f"substring(line, {before} + {1 + shift}, {_cut(i, other, parts)} - {before})"
 
 
 def segment_keys(k: int):
-    """(indexed, characters shorter, segments, tag, (segment, shift)s): a line's own segments, and those it probes for lines up to ``k`` shorter."""
+    """(indexed, SQL): a key of each of a line's own segments, and those it probes for lines up to ``k`` characters shorter."""
     for shorter in range(k + 1):
+        other = f"(len - {shorter})"
         for i in range(1, k + 2):
             low, high = max(1 - i, shorter - (k + 1 - i)), min(i - 1, shorter + (k + 1 - i))
             for shift in range(low, high + 1):
-                yield shorter == 0 and shift == 0, shorter, k + 1, i, [(i, shift)]
+                yield shorter == 0 and shift == 0, f"xxhash64({16 * k + i}, {other}, {_segment(i, other, k + 1, shift)})"
 
 
 def fine_keys(k: int):
     """The same for crowds: of k + ``FINE`` segments all but k must agree, each at a shift that k edits can cause."""
     parts = k + FINE
     for shorter in range(k + 1):
+        other = f"(len - {shorter})"
         for broken in combinations(range(1, parts + 1), k):
             # Shifts change at broken segments only and end at the difference of the lengths.
             for steps in product(range(-k, k + 1), repeat=k):
                 if sum(steps) != shorter or sum(map(abs, steps)) > k:
                     continue
-                whole = [(i, sum(s for b, s in zip(broken, steps) if b < i)) for i in range(1, parts + 1) if i not in broken]
-                yield shorter == 0 and not any(steps), shorter, parts, -sum(1 << b for b in broken), whole
+                whole = [_segment(i, other, parts, sum(s for b, s in zip(broken, steps) if b < i)) for i in range(1, parts + 1) if i not in broken]
+                yield shorter == 0 and not any(steps), f"xxhash64({-sum(1 << b for b in broken) - k}, {other}, {', '.join(whole)})"
 
 
 def line_keys(make, ladder=LADDER) -> Column:
-    """key, indexed: all keys of the column ``line``. Of so many segments of a line (or of a shorter one, probed) some are hashed.
+    """key, indexed: all keys of ``line`` of ``len`` characters. One SQL text: made call by call they take longer than the join.
 
-    Segments are as even as can be, the last ones taking what is left over. The work to do is a constant array, not unrolled.
+    A line a little below a step is indexed for the longer ones that probe it.
     """
-    other = "(char_length(line) - p.shorter)"
-    base, extra = f"cast(floor({other} / p.parts) as int)", f"({other} % p.parts)"
-    place = f"((w.i - 1) * {base} + greatest(0, w.i - 1 - p.parts + {extra}) + 1 + w.shift)"
-    size = f"({base} + if(w.i > p.parts - {extra}, 1, 0))"
-    inside = f"forall(p.whole, w -> {place} >= 1 and {place} + {size} <= char_length(line) + 1)"
-    key = f"xxhash64(p.k, p.tag, {other}, transform(p.whole, w -> substring(line, {place}, {size})))"
-    use = f"char_length(line) >= p.low and char_length(line) < p.end and {inside}"
-    return F.expr(f"transform(filter({_specs(make, ladder)}, p -> {use}), p -> struct({key} as key, p.indexed as indexed))")
+    arrays, ends = [], [s for s, _ in ladder[1:]] + [1 << 30]
+    for (least, k), end in zip(ladder, ends):
+        keys = [*make(k)]
+        own = ", ".join(f"struct({x} as key, true as indexed)" for indexed, x in keys if indexed)
+        probes = ", ".join(f"struct({x} as key, false as indexed)" for indexed, x in keys if not indexed)
+        arrays.append(f"case when len >= {max(MIN_CHARS, least - k)} and len < {end} then array({own}) end")
+        arrays.append(f"case when len >= {max(MIN_CHARS, least)} and len < {end} then array({probes}) end")
+    return F.expr(f"flatten(filter(array({', '.join(arrays)}), x -> x is not null))")
 
 
 def within(x: Column, y: Column, ladder=LADDER) -> Column:
-    """Whether two lines are near: their edit distance by bit-parallel columns of a band around the diagonal.
+    """Whether two lines are near by their edit distance: what they share at both ends is passed over, a band decides on the rest."""
+    longest = F.greatest(F.char_length(x), F.char_length(y))
+    close = F.abs(F.char_length(x) - F.char_length(y)) <= allowed(longest, ladder)
+    decide = lambda s: _distance(s["x"], s["y"], max(e for _, e in ladder)) <= allowed(longest, ladder)
+    return F.when(close, F.transform(F.array(_differing(x, y)), decide)[0]).otherwise(False)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """x, y without what they share at both ends, but for up to 15 characters each."""
+    sizes = F.lit([1 << b for b in range(15, 3, -1)])
+    rest = lambda s, cut: F.struct(cut("x").alias("x"), cut("y").alias("y"))
+
+    def front(s: Column, n: Column) -> Column:
+        return F.when(F.left(s["x"], n) == F.left(s["y"], n), rest(s, lambda c: F.substr(s[c], n + 1))).otherwise(s)
+
+    def back(s: Column, n: Column) -> Column:
+        return F.when(F.right(s["x"], n) == F.right(s["y"], n), rest(s, lambda c: F.left(s[c], F.char_length(s[c]) - n))).otherwise(s)
+
+    return F.aggregate(sizes, F.aggregate(sizes, F.struct(x.alias("x"), y.alias("y")), front), back)
+
+
+def _distance(x: Column, y: Column, k: int) -> Column:
+    """The edit distance of two lines at most ``k`` characters apart in length, right if it is at most ``k``.
 
-    Bit b of column i stands for the shorter line's character i + b - k. ``vp`` and ``vn`` say where the distance grows or falls
-    down a column, ``d0`` where a cell equals its neighbour up the diagonal; each set bit on the last cell's diagonal saves
-    one of as many edits as the longer line has characters.
+    Columns of a band of 2 k + 1 diagonals are bit-parallel. Bit b of column i stands for the shorter line's character
+    i + b - k. ``vp`` and ``vn`` say where the distance grows or falls down a column, ``d0`` where a cell equals its neighbour
+    up the diagonal; each set bit on the last cell's diagonal saves one of as many edits as the longer line has characters.
     """
-    k = max(e for _, e in ladder)
     full = (1 << (2 * k + 1)) - 1
     n, m = F.greatest(F.char_length(x), F.char_length(y)), F.least(F.char_length(x), F.char_length(y))
     longer = F.split(F.when(F.char_length(x) >= F.char_length(y), x).otherwise(y), "")
@@ -129,8 +150,7 @@ def within(x: Column, y: Column, ladder=LADDER) -> Column:
         return F.transform(F.array(d0), after)[0]
 
     first = F.struct(F.lit(full - (1 << k) + 1).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (k - (n - m)).cast("int").alias("at"), F.lit(0).alias("hits"))
-    distance = n - F.aggregate(F.transform(F.array(shorter), masks)[0], first, step, lambda s: s["hits"])
-    return F.when(n - m <= allowed(n, ladder), distance <= allowed(n, ladder)).otherwise(False)
+    return n - F.aggregate(F.transform(F.array(shorter), masks)[0], first, step, lambda s: s["hits"])
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def _near(full: DataFrame, ladder) -> DataFrame:
 
 def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
     """id, sig, gone (places and whether the line was merely near): one row for each document that loses lines."""
-    rows = _lines(documents).select("id", "sig", "place", *_hashed(), line_keys(segment_keys, ladder).alias("keys"))
+    rows = _lines(documents).withColumn("len", F.char_length("line")).select("id", "sig", "place", *_hashed(), line_keys(segment_keys, ladder).alias("keys"))
     distinct = staged(rows.groupBy("h", "g").agg(F.min(F.struct("id", "sig", "place")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
 
     # At equal lengths a segment that stands where the index has it is its own probe.
@@ -171,7 +191,7 @@ def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
     close = staged(distinct.select("h", "g", "first", F.explode("keys").alias("k")).select("h", "g", "first", "k.*").join(bounded(met), "key"), "near-lines")
     texts = staged(_fetch(documents, close), "near-texts")
     few = close.filter("not crowd").join(texts, "first")
-    many = close.filter("crowd").select("h", "g", "first").distinct().join(texts, "first")
+    many = close.filter("crowd").select("h", "g", "first").distinct().join(texts, "first").withColumn("len", F.char_length("line"))
     many = many.select("h", "g", "first", "line", F.explode(line_keys(fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "k.*")
     later = _near(few, ladder).union(_near(many, ladder)).distinct().withColumn("near", F.lit(True))
     bad = distinct.select("h", "g", "first", "n").join(bounded(staged(later, "later")), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
