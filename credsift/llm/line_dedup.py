@@ -5,8 +5,9 @@ A line that isn't blank is removed if an equal line, or a near one, comes earlie
 reduced to 128-bit hashes first, so equal lines meet once. For the edit join each distinct line is cut into one more
 segment than its threshold; a line within the threshold holds one of them unchanged at a place that the two lengths
 bound, so an index of segments by length is probed with the few substrings that can match. Lines that meet in no segment
-never carry their text anywhere; for the others it is fetched, and a banded bit-parallel edit distance decides (``within``: a
-band of 2 k + 1 diagonals in one long, shifted along the longer line). A semi-join asks only whether an earlier line
+never carry their text anywhere; for the others it is fetched. Lines whose letter counts differ by more than the edits can
+change are passed over, and a banded bit-parallel edit distance decides on the others (``within``: a band of 2 k + 1
+diagonals in one long, shifted along the longer line). A semi-join asks only whether an earlier line
 exists, so a crowd of alike lines gives one row each, not a row for each pair.
 
 A segment that more than ``CROWD`` lines share (one equal half, many different others) isn't joined on. Its lines are cut
@@ -33,6 +34,7 @@ MIN_CHARS = 16
 #: From so many characters of the longer line on, so many edits. More steps multiply the probes: about k ** 3 / 3 a line.
 LADDER = ((MIN_CHARS, 1), (96, 2))
 CROWD, FINE = 64, 4
+BAGS = ("ab", "cd", "e", "fg", "hi", "jkl", "mn", "o", "pq", "rs", "t", "uvw", "xyz")
 
 
 def allowed(length: Column, ladder=LADDER) -> Column:
@@ -168,15 +170,29 @@ def _hashed(line: str = "line") -> list[Column]:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """first, line for the places of ``wanted`` (first)."""
+    """first, line, bag for the places of ``wanted`` (first)."""
     wanted = wanted.select(F.col("first.id").alias("id"), F.col("first.sig").alias("sig"), F.col("first.place").alias("place")).distinct()
-    return _lines(documents).join(bounded(wanted), ["id", "sig", "place"], "left_semi").select(F.struct("id", "sig", "place").alias("first"), "line").dropDuplicates(["first"])
+    return _lines(documents).join(bounded(wanted), ["id", "sig", "place"], "left_semi").select(F.struct("id", "sig", "place").alias("first"), "line", _bag(F.col("line")).alias("bag")).dropDuplicates(["first"])
 
 
-def _near(full: DataFrame, ladder) -> DataFrame:
-    """h, g of the lines of ``full`` (key, indexed, first, line, h, g) that have an earlier near line under a key."""
+def _bag(line: Column) -> Column:
+    """How often the letters of each of ``BAGS`` occur. An edit changes these counts by two in all at most."""
+    return F.struct(*((F.char_length(line) - F.char_length(F.translate(line, some, ""))).alias(some) for some in BAGS))
+
+
+def _near(full: DataFrame, ladder, crowded: bool = False) -> DataFrame:
+    """h, g of the lines of ``full`` (key, indexed, first, line, bag, h, g) that have an earlier near line under a key.
+
+    In crowds, where most pairs are too far apart, Spark's distance with a threshold passes these over first.
+    """
+    full = full.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # few bytes, much to compare
     p, q = full.alias("p"), full.alias("q")
     met = (F.col("p.key") == F.col("q.key")) & (F.col("q.first") < F.col("p.first")) & (F.col("p.indexed") | F.col("q.indexed"))
+    apart = sum((F.abs(F.col(f"p.bag.{some}") - F.col(f"q.bag.{some}")) for some in BAGS), F.lit(0))
+    most = max(k for _, k in ladder)
+    met = met & (apart <= 2 * most)
+    if crowded:
+        met = met & (F.levenshtein("p.line", "q.line", most) >= 0)
     return p.join(q, met & within(F.col("p.line"), F.col("q.line"), ladder), "left_semi").select("h", "g")
 
 
@@ -192,8 +208,8 @@ def removals(documents: DataFrame, ladder=LADDER) -> DataFrame:
     texts = staged(_fetch(documents, close), "near-texts")
     few = close.filter("not crowd").join(texts, "first")
     many = close.filter("crowd").select("h", "g", "first").distinct().join(texts, "first").withColumn("len", F.char_length("line"))
-    many = many.select("h", "g", "first", "line", F.explode(line_keys(fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "k.*")
-    later = _near(few, ladder).union(_near(many, ladder)).distinct().withColumn("near", F.lit(True))
+    many = many.select("h", "g", "first", "line", "bag", F.explode(line_keys(fine_keys, ladder)).alias("k")).select("h", "g", "first", "line", "bag", "k.*")
+    later = _near(few, ladder).union(_near(many, ladder, True)).distinct().withColumn("near", F.lit(True))
     bad = distinct.select("h", "g", "first", "n").join(bounded(staged(later, "later")), ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bad = staged(bad, "bad-lines")
     places = _lines(documents).select("id", "sig", "place", *_hashed())
