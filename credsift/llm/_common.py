@@ -61,6 +61,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._credsift_shipped = True
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if a count shows that it has few rows; else Spark shuffles both sides of a join."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -11,8 +11,10 @@ which it holds enough triples.
 
 The items are broadcast in parts of at most ``PART_BYTES``; a larger benchmark takes more passes over the texts.
 
-Edge cases: null texts have no words; items with fewer than ``MIN_WORDS`` words (or null) are too short to be evidence
-and aren't searched; repeated items and repeated rows each give their own rows; very long texts are searched whole; an
+Items of fewer than ``MIN_WORDS`` words are too short for edits to mean anything: they leak where all of their words stand in
+a text in their order, next to each other.
+
+Edge cases: null texts have no words; items without a word (or null) leak nowhere; repeated items and repeated rows each give their own rows; very long texts are searched whole; an
 empty table of either kind gives an empty result (and ``decontaminate`` then keeps all); other columns are ignored, or kept
 by ``decontaminate``.
 """
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, text_chunks
+from ._common import bounded_batches, free_name, text_chunks
 from ._winnow import _mix, range_hashes
 
 EDITS, MIN_WORDS = 0.2, 8
@@ -86,6 +88,11 @@ class Items:
             if len(w) >= MIN_WORDS:
                 self.ids.append(i)
                 self.words.append(w)
+        self.short: dict[int, dict[bytes, list]] = {}  # by number of words, then by these: the ids
+        for i, t in zip(ids, texts):
+            w, _ = words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+            if 0 < len(w) < MIN_WORDS:
+                self.short.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(i)
         self.size = np.array([len(w) for w in self.words], np.int64)
         every = [_triples(w) for w in self.words]
         self.every = every
@@ -126,6 +133,24 @@ class Items:
             at += coin.astype(np.int64)
         return keys
 
+    def leaks(self, words: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """(text, item id, edits, words of the item, end word) of all leaks of texts, given all their words and where each starts."""
+        out = [(t, self.ids[item], edits, int(self.size[item]), end) for t, item, edits, end in self.find(words, first)]
+        for n, known in self.short.items():
+            if len(words) < n:
+                continue
+            heads = np.unique(np.array([np.frombuffer(w, np.uint64)[0] for w in known]))
+            places = np.flatnonzero(np.isin(words[: len(words) - n + 1], heads))
+            text = np.searchsorted(first, places, "right") - 1
+            inside = places + n <= first[text + 1]
+            seen = set()
+            for place, t in zip(places[inside].tolist(), text[inside].tolist()):
+                own = words[place : place + n].tobytes()
+                if own in known and (t, own) not in seen:
+                    seen.add((t, own))
+                    out += [(t, i, 0, n, place + n - int(first[t])) for i in known[own]]
+        return out
+
     def find(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end word) of the leaks of texts, given all their words and where each starts."""
         if not self.words or len(words) < 3:
@@ -224,9 +249,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(*sent.value)
             for batch in batches:
                 for keys, buf, offsets in text_chunks(batch, limit=SCAN_BYTES):
-                    got = items.find(*words_of(buf, offsets))
+                    got = items.leaks(*words_of(buf, offsets))
                     if got:
-                        yield pa.RecordBatch.from_pydict({"doc_id": keys.take(pa.array([g[0] for g in got])), "item_id": pa.array([items.ids[g[1]] for g in got], pa.int64()), "edits": pa.array([g[2] for g in got], pa.int32()), "n_words": pa.array([int(items.size[g[1]]) for g in got], pa.int32()), "end_word": pa.array([g[3] for g in got], pa.int64())})
+                        yield pa.RecordBatch.from_pydict({"doc_id": keys.take(pa.array([g[0] for g in got])), "item_id": pa.array([g[1] for g in got], pa.int64()), "edits": pa.array([g[2] for g in got], pa.int32()), "n_words": pa.array([g[3] for g in got], pa.int32()), "end_word": pa.array([g[4] for g in got], pa.int64())})
 
         found = rows.mapInArrow(run, "doc_id long, item_id long, edits int, n_words int, end_word long")
         out = found if out is None else out.union(found)
@@ -237,7 +262,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that leak no item, all columns as they were."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    schema = documents.schema
+    schema, lower = documents.schema, free_name(documents, "_lower")
     for ids, texts in item_parts(benchmark):
         sent = spark.sparkContext.broadcast((ids, texts))
 
@@ -247,11 +272,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(*sent.value)
             for batch in batches:
                 clean, low = np.ones(batch.num_rows, bool), 0
-                for keys, buf, offsets in text_chunks(batch, "_lower", "_lower", SCAN_BYTES):
-                    for g in items.find(*words_of(buf, offsets)):
+                for keys, buf, offsets in text_chunks(batch, lower, lower, SCAN_BYTES):
+                    for g in items.leaks(*words_of(buf, offsets)):
                         clean[low + g[0]] = False
                     low += len(offsets) - 1
-                yield batch.filter(pa.array(clean)).select([n for n in batch.schema.names if n != "_lower"])
+                yield batch.filter(pa.array(clean)).select([n for n in batch.schema.names if n != lower])
 
-        documents = documents.withColumn("_lower", F.lower(F.col("text").cast("string"))).mapInArrow(run, schema)
+        documents = documents.withColumn(lower, F.lower(F.col("text").cast("string"))).mapInArrow(run, schema)
     return documents

@@ -19,3 +19,11 @@ def test_item_with_dropped_words_is_a_leak():
             text = " ".join(words).encode()
             w, first = decontam.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             assert [g[1:3] for g in known.find(w, first)] == [(j, k)]
+
+
+def test_items_of_few_words_leak_where_quoted_in_full():
+    items = decontam.Items([1, 2, 3, 4], [b"the blue whale", b"seven", b"", b"one two three four five six seven eight"])
+    texts = [b"we saw the blue whale", b"the blue", b"whale seven and the blue whale, seven", b""]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = items.leaks(*decontam.words_of(np.frombuffer(b"".join(texts), np.uint8), offsets))
+    assert sorted(got) == [(0, 1, 0, 3, 5), (2, 1, 0, 3, 6), (2, 2, 0, 1, 2)]
