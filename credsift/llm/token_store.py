@@ -201,11 +201,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "block"))):
                 block = Block(data)
-                bounds = block.bounds.all().astype(np.int64)
-                wide = block.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 n = block.n_docs
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc_id": pa.array(block.doc_ids, pa.int64()), "at": pa.array(bounds[:-1]), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())})
+                at, size, crc = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                end = block.bounds.select(0)
+                for k in range(n):
+                    at[k], end = end, block.bounds.select(k + 1)
+                    size[k], crc[k] = end - at[k], zlib.crc32(block.ids[at[k] : end].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "doc_id": pa.array(block.doc_ids, pa.int64()), "at": pa.array(at), "n_tokens": pa.array(size), "ids_crc32": pa.array(crc)})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     rows = blocks.mapInArrow(documents, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
