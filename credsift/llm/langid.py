@@ -23,6 +23,7 @@ from ._common import bounded_batches, text_chunks
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 OVERLAP = max(WIDTHS) - 1
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 400, 4, 6, 64
+STEPS = 400  # of training at least, so that few windows are gone over more often
 
 
 def held_out():
@@ -50,7 +51,7 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 7) -> dict:
         p[f"b{w}"] = np.zeros(FILTERS)
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for low in range(0, len(x), BATCH):
             rows = order[low : low + BATCH]
@@ -125,17 +126,33 @@ def fit(documents: DataFrame, docs: int = SAMPLE_DOCS) -> tuple[list[str], dict
     if not languages:
         return [], None
     # Hashes of the id below a threshold that lets about ``docs`` rows of each language through.
-    share = spark.createDataFrame([(r["lang"], min(1.0, docs / r["n"])) for r in sizes], "lang string, share double")
+    share = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs / r["n"])))), F.col("lang"))
     key = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
-    rows = labelled.select("lang", F.substring("text", 1, 4096).alias("text"), key.alias("key")).join(share, "lang").filter(F.col("key") < F.col("share") * (1 << 40)).select("lang", "text", "key").orderBy("key", "text").limit(2 * docs * len(languages)).collect()
-    number = {x: i for i, x in enumerate(languages)}
-    texts, wanted = [r["text"].encode() for r in rows], [number[r["lang"]] for r in rows]
-    x, owner = windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    use = nth < SAMPLE_WINDOWS
-    if not use.any():
+    bounded_batches(spark)
+    chosen = labelled.select("lang", F.col("text").cast("string").alias("text"), key.alias("key")).filter(F.col("key") < share * (1 << 40))
+    rows = chosen.mapInArrow(_some_windows, "lang string, key long, x binary").orderBy("key", "x").limit(2 * docs * SAMPLE_WINDOWS * len(languages)).collect()
+    if not rows:
         return languages, None
-    return languages, train(x[use], np.array(wanted)[owner[use]], len(languages))
+    number = {x: i for i, x in enumerate(languages)}
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.uint8).reshape(-1, LENGTH)
+    return languages, train(x, np.array([number[r["lang"]] for r in rows]), len(languages))
+
+
+def _some_windows(batches):
+    """At most ``SAMPLE_WINDOWS`` windows of each text, spread evenly over the whole of it."""
+    import pyarrow as pa
+
+    for batch in batches:
+        low = 0
+        for keys, buf, offsets in text_chunks(batch, "key"):
+            x, owner = windows(buf, offsets)
+            count = np.bincount(owner, minlength=len(offsets) - 1)
+            nth, of = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), count[owner]
+            # The window is the first in its part of the text, if the text is cut into as many parts as windows are wanted.
+            use = np.flatnonzero((nth * SAMPLE_WINDOWS // of) != ((nth - 1) * SAMPLE_WINDOWS // of))
+            at = pa.array(owner[use])
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(low, len(offsets) - 1).take(at), "key": keys.take(at), "x": pa.array([w.tobytes() for w in x[use]], pa.binary())})
+            low += len(offsets) - 1
 
 
 def identify(documents: DataFrame) -> DataFrame:
