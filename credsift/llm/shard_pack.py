@@ -1,8 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly, equal texts kept together.
 
-Equal texts form a group; its vector is (bytes, tokens, rows). A group larger than a whole shard in any dimension is
-split into chunks by document id; the others are gathered by text hash into at most ``CELLS`` cells, so what the driver
-packs is bounded whatever the table's size. Items are placed largest first, each into the shard where the dot product
+Equal texts form a group; its vector is (bytes, tokens, rows). Groups are placed one by one as long as there are at most
+``CELLS`` of them. Beyond that, those larger than 1 / ``SMALL`` of a shard in any dimension still are (there can't be more than
+3 * ``SMALL`` * shards), and the small ones are gathered by hash into ``CELLS`` cells, so what the driver packs is bounded
+whatever the table's size. A group larger than a whole shard is split into chunks, row by row. Items are placed largest first, each into the shard where the dot product
 of its vector with the residual capacity is highest among the shards that still have room for it; where none has, into
 the one with most room in bytes. The law that holds is ``bytes``: sizes near equal.
 
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ._common import staged, utf8_bytes
 
-SHARDS, CELLS = 24, 1 << 13
+SHARDS, CELLS, SMALL = 24, 1 << 13, 64
 PIECES = 8  # a group beyond one shard's capacity is cut into so many chunks a shard
 ROOM = 0.002  # of the capacity, by which a shard may be overfull
 SLOT_ROWS = 2_000  # rows of a shard numbered in one window, about
@@ -56,32 +57,34 @@ def assign_shards(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS
             F.coalesce(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(words, F.lit(0)).cast("long").alias("n_words"),
             F.xxhash64(text.isNull(), text).alias("grp"),
+            F.monotonically_increasing_id().alias("row"),  # tells rows with one id and text apart, once written
         ),
         "shard-input",
     )
     sums = [F.sum("size").alias("b"), F.sum("n_words").alias("t"), F.count("*").alias("n")]
-    groups = slim.groupBy("grp").agg(*sums)
+    groups = staged(slim.groupBy("grp").agg(*sums), "groups")
     total = slim.agg(*sums).first()
     cap = [max(1, (total[k] or 0)) / shards for k in ("b", "t", "n")]
     share = F.greatest(*(F.col(k) / F.lit(c) for k, c in zip(("b", "t", "n"), cap)))
-    # At most 3 * shards groups exceed a shard in one of three dimensions.
-    heavy = [(r["grp"], int(np.ceil(r["share"] * PIECES))) for r in groups.withColumn("share", share).filter("share > 1").select("grp", "share").orderBy("grp").collect()]
+    least = 0.0 if groups.limit(cells + 1).count() <= cells else 1 / SMALL
+    own = groups.withColumn("share", share).filter(F.col("share") > least).select("grp", "share").orderBy("grp").collect()
     base, rows = cells, []
-    for grp, n in heavy:
+    for grp, x in own:
+        n = int(np.ceil(x * PIECES)) if x > 1 else 1
         rows.append((grp, base, n))
         base += n
     cut = spark.createDataFrame(rows, "grp long, item_base int, n_chunks int")
-    chunk = F.col("item_base") + F.pmod(F.xxhash64("doc_id"), F.col("n_chunks"))
+    chunk = F.col("item_base") + F.pmod(F.xxhash64("row"), F.col("n_chunks"))
     with_item = slim.join(F.broadcast(cut), "grp", "left").withColumn("item", F.coalesce(chunk, F.pmod("grp", F.lit(cells))).cast("int"))
     items = with_item.groupBy("item").agg(*sums).orderBy("item").collect()  # bounded by cells and chunks
     placed = pack(np.array([[r["b"], r["t"], r["n"]] for r in items], float).reshape(-1, 3), shards)
     where = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(items, placed)], "item int, shard int")
     buckets = max(1, -(-(total["n"] or 0) // (shards * SLOT_ROWS)))
-    out = with_item.join(F.broadcast(where), "item").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    out = with_item.join(F.broadcast(where), "item").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = out.groupBy("shard", "bucket").agg(F.count("*").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32"))
+    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "row"))
     return out.withColumn("number", number).join(counts, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_words"
     )
