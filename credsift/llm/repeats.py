@@ -23,7 +23,6 @@ ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -400,8 +399,6 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the kept bytes."""
     spark = documents.sparkSession
     spans = repeat_spans(documents)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the steps that are done
     bounded_batches(spark)
     packed = _keyed(documents).mapInArrow(_pack, f"{KEY}, packed binary")
     runs = spans.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
