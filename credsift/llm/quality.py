@@ -1,9 +1,9 @@
 """Quality rules combined by weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a whole text; most rules know one kind of bad text only and abstain
-where they don't see it, so an abstention says nothing. Expectation-maximisation over the counts of all vote patterns (at
-most 3 ** rules of them, a table that doesn't grow with the corpus) estimates each rule's accuracy and the share of
-good texts; the verdict is the posterior probability of "good". Everything by row is built-in expressions.
+Each rule votes good (1), bad (-1) or abstains (0) on a whole text. Expectation-maximisation over the counts of all vote
+patterns (at most 3 ** rules of them, a table that doesn't grow with the corpus) estimates the share of good texts and each
+vote's chance, abstentions included, in good and in bad texts; the verdict is the posterior probability of "good" by
+Bayes' rule, votes taken as independent within a class. Everything by row is built-in expressions.
 
 Edge cases: null text is treated as empty; a text without words fails the base rule; very long texts are handled
 by sorting their own five-word windows, nothing is cut; repeated rows get equal results; an empty table gives an empty
@@ -21,11 +21,10 @@ from ._common import staged
 
 BLANK = r"[\x20\x09-\x0D]"
 WINDOW = 5
-ROUNDS, SMOOTH = 200, 1.0
-#: Bounds on the accuracy of votes for good and for bad: right more often than not, never certain, and a usual look is weak evidence.
-ACCURACY = {1: (0.55, 0.9), -1: (0.55, 0.99)}
-SHARE = (0.5, 0.9)  # bounds on the share of good texts: texts without a vote would else carry it away
-PRIOR = (18.0, 20.0)  # a vote counts from the start as right in 18 of 20 cases
+ROUNDS = 500
+#: What is believed before any text is seen, worth ``PSEUDO`` texts: the share of good ones, and each vote's chance in good and in bad ones.
+PSEUDO, SHARE = 20.0, 0.8
+START = {-1: (0.02, 0.20), 0: (0.90, 0.75), 1: (0.08, 0.05)}
 RULES = ("symbols", "symbol_runs", "lone_symbols", "letters", "capitals", "shouting", "word_length", "repetition", "repeated_lines", "sentences")
 
 
@@ -99,38 +98,56 @@ def _votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
-    """EM over vote patterns and their counts: the log-odds of "good" before any vote, and what each rule's vote adds."""
-    if not patterns:
-        return 0.0, []
-    rules = len(patterns[0][0])
-    logit = lambda x: math.log(x / (1 - x))
-    prior, weights = logit(0.8), [{1: logit(0.9), 0: 0.0, -1: -logit(0.9)} for _ in range(rules)]
-    total = sum(n for _, n in patterns)
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """EM over vote patterns and their counts: the share of good texts, and of each rule's votes the chances in good and in bad texts.
+
+    Every vote, an abstention too, has its own chance in either class. A vote for bad is never held more likely in good texts
+    than in bad ones, nor the reverse, which tells the classes apart.
+    """
+    rules, total = len(patterns[0][0]), sum(n for _, n in patterns)
+    counts = [n for _, n in patterns]
+    good = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
     for _ in range(ROUNDS):
-        good = [1 / (1 + math.exp(-(prior + sum(w[v] for w, v in zip(weights, votes))))) for votes, _ in patterns]
-        share = (sum(n * g for (_, n), g in zip(patterns, good)) + SMOOTH) / (total + 2 * SMOOTH)
-        share = min(SHARE[1], max(SHARE[0], share))
-        new = []
+        weight = [n * g for n, g in zip(counts, good)]
+        all_good = sum(weight)
+        share = (all_good + PSEUDO * SHARE) / (total + PSEUDO)
+        chances = []
         for r in range(rules):
-            own = {0: 0.0}
-            for vote, (low, high) in ACCURACY.items():
-                right = sum(n * (g if vote > 0 else 1 - g) for (votes, n), g in zip(patterns, good) if votes[r] == vote) + PRIOR[0]
-                cast = sum(n for votes, n in patterns if votes[r] == vote) + PRIOR[1]
-                own[vote] = vote * logit(min(high, max(low, right / cast)))
-            own[-1] -= logit(share)  # against what the share of good texts says: a ratio of likelihoods
-            new.append(own)
-        moved = max(abs(logit(share) - prior), *(abs(a[v] - b[v]) for a, b in zip(weights, new) for v in (1, -1)))
-        prior, weights = logit(share), new
+            own = {}
+            for vote, (if_good, if_bad) in START.items():
+                cast = sum(n for (votes, n) in patterns if votes[r] == vote)
+                right = sum(w for (votes, _), w in zip(patterns, weight) if votes[r] == vote)
+                x, y = (right + PSEUDO * if_good) / (all_good + PSEUDO), (cast - right + PSEUDO * if_bad) / (total - all_good + PSEUDO)
+                own[vote] = (x, y) if not vote or (x - y) * vote >= 0 else ((x + y) / 2,) * 2
+            chances.append(own)
+        new = [posterior(votes, share, chances) for votes, _ in patterns]
+        moved = max(abs(x - y) for x, y in zip(new, good))
+        good = new
         if moved < 1e-9:
             break
-    return prior, weights
+    return share, chances
+
+
+def posterior(votes: tuple[int, ...], share: float, chances: list[dict[int, tuple[float, float]]]) -> float:
+    """The chance that a text with these votes is good, by Bayes' rule."""
+    good, bad = share, 1 - share
+    for vote, own in zip(votes, chances):
+        good, bad = good * own[vote][0], bad * own[vote][1]
+    return good / (good + bad)
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
+    """The log-odds of "good" before any vote, and what each rule's vote adds: the log-ratio of its chances in good and bad texts."""
+    if not patterns:
+        return 0.0, []
+    share, chances = estimate(patterns)
+    return math.log(share / (1 - share)), [{vote: math.log(x / y) for vote, (x, y) in own.items()} for own in chances]
 
 
 def _odds(prior: float, weights: list[dict[int, float]]) -> Column:
     out = F.lit(float(prior))
     for rule, w in zip(RULES, weights):
-        out = out + F.when(F.col(f"_v_{rule}") > 0, float(w[1])).when(F.col(f"_v_{rule}") < 0, float(w[-1])).otherwise(0.0)
+        out = out + F.when(F.col(f"_v_{rule}") > 0, float(w[1])).when(F.col(f"_v_{rule}") < 0, float(w[-1])).otherwise(float(w[0]))
     return out
 
 
