@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,39 @@ def history_events(findings: DataFrame, now: str) -> DataFrame:
     return rows.select("ts", "event", "fingerprint", "path", "line", extra.alias("extra"))
 
 
+def _files(spark, path: str):
+    """The file system that holds ``path``, and ``path`` for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def read_baseline(spark, path: str) -> DataFrame:
-    """A baseline file: JSON with ``entries`` by fingerprint."""
+    """A baseline as ``write_baseline`` leaves it, or a JSON file with ``entries`` by fingerprint."""
+    files, where = _files(spark, path)
+    if files.getFileStatus(where).isDirectory():
+        return spark.read.schema(SCHEMA).parquet(path)
     value = SCHEMA.replace("fingerprint string, ", "")
     raw = spark.read.json(path, multiLine=True, schema="entries map<string, struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split() for x in value.split(", "))) + ">>")
     return raw.select(F.explode("entries").alias("fingerprint", "e")).select("fingerprint", "e.*")
 
 
 def write_baseline(baseline: DataFrame, path: str) -> None:
-    baseline.orderBy("fingerprint").write.mode("overwrite").parquet(path)
+    """Written beside ``path`` in full, then moved there: a run that fails leaves the old baseline as it was."""
+    spark = baseline.sparkSession
+    made = f"{path}.{uuid.uuid4().hex}"
+    baseline.orderBy("fingerprint").write.parquet(made)
+    files, where = _files(spark, path)
+    old = _files(spark, f"{made}.old")[1]
+    if files.exists(where):
+        files.rename(where, old)
+    files.rename(_files(spark, made)[1], where)
+    files.delete(old, True)
+
+
+def append_history(events: DataFrame, path: str) -> None:
+    """Adds ``history_events`` to the JSON lines at ``path``."""
+    events.write.mode("append").json(path)
+
+
+def read_history(spark, path: str) -> DataFrame:
+    return spark.read.schema("ts timestamp, event string, fingerprint string, path string, line int, extra string").json(path)

@@ -38,6 +38,11 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pos", "e.id", "e.kind", "e.match.strategy", F.coalesce("e.match.value", "e.match.sha256", "e.match.pattern").alias("value"), F.coalesce("e.verdict", F.lit("FIXTURE")).alias("verdict"))
 
 
+def counts(catalog: DataFrame) -> DataFrame:
+    """strategy, verdict, n, n_kinds: what a catalogue holds."""
+    return catalog.groupBy("strategy", "verdict").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("n_kinds"))
+
+
 def lookup(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """``findings`` with catalog_id and catalog_verdict (null where no entry knows the value).
 

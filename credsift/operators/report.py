@@ -35,6 +35,45 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     findings.sparkSession.createDataFrame(rules, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rules")
 
 
+def only_verified(findings: DataFrame) -> DataFrame:
+    """What a run that shows verified findings only shows; its exit code still comes from all of them."""
+    return findings.filter("status = 'verified'")
+
+
+def cache_keys(findings: DataFrame) -> DataFrame:
+    """``findings`` with cache_key: equal for equal patterns, redacted values and contexts, wherever they stand."""
+    context = F.array_join(F.transform("context", lambda x: F.concat(x, F.lit("\n"))), "")
+    return findings.withColumn("cache_key", F.sha2(F.concat("pattern", F.lit("\0"), redacted(F.col("match")), F.lit("\0"), context), 256))
+
+
+def percent(confidence: Column) -> Column:
+    """A confidence as it is shown."""
+    return F.round(confidence * 100).cast("int")
+
+
+def short_sha(sha: Column) -> Column:
+    return F.left(sha, F.lit(8))
+
+
+def by_commit_and_path(findings: DataFrame) -> DataFrame:
+    """repo, commit (short), path, n, patterns: a row for each file of a commit that has findings."""
+    order = F.sort_array(F.collect_list(F.struct("line", "column", "pattern_ord", "pattern")))
+    rows = findings.groupBy("repo", "sha", "path").agg(F.count("*").alias("n"), F.array_join(F.transform(order, lambda x: x["pattern"]), ",").alias("patterns"))
+    return rows.select("repo", short_sha(F.col("sha")).alias("commit"), "path", "n", "patterns")
+
+
+def sarif_documents(findings: DataFrame) -> DataFrame:
+    """path, sarif: a SARIF 2.1.0 document of each file's findings, with all rules."""
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    text = F.concat("pattern", F.lit(": "), redacted(F.col("match")), F.lit(" ("), "verdict", F.lit(")"))
+    result = F.struct("line", "column", "pattern_ord", F.struct(F.col("pattern").alias("ruleId"), sarif_level(F.col("severity"), F.col("verdict")).alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations")).alias("r"))
+    rows = findings.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(result)), lambda x: x["r"]).alias("results"))
+    rules = F.array(*(F.struct(F.lit(p.id).alias("id"), F.struct(F.lit(p.severity).alias("severity")).alias("properties")) for p in patterns()))
+    run = F.struct(F.struct(F.struct(F.lit("credsift").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), "results")
+    return rows.select("path", F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+
+
 def totals(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "real").alias("real"), F.count_if(F.coalesce(F.col("status") == "verified", F.lit(False))).alias("verified"), F.count_if(F.col("verdict") == "unknown").alias("unknown"))
 

@@ -185,6 +185,14 @@ p AS (SELECT *, CASE {put("concat('''', match, '''')")} {put("concat('\"', match
     out["seed_commands"] = f"{propose} SELECT DISTINCT env_var, {', '.join(f'{x} AS {b}' for b, x in seed.items())} FROM p WHERE new_line <> source"
     out["sarif_results"] = f"{A} SELECT pattern AS rule_id, CASE WHEN verdict = 'fixture' THEN 'note' WHEN verdict = 'unknown' THEN 'warning' WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, concat(pattern, ': ', {REDACTED.format('match')}, ' (', verdict, ')') AS message, path AS uri, line::INT AS start_line, \"column\" AS start_column FROM a"
     out["prompt_candidates"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, severity, {REDACTED.format('match')} AS match_redacted, array_to_string(list_transform(context, lambda x: replace(x, match, {REDACTED.format('match')})), chr(10)) AS context FROM f"
+    out["findings_in_order"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, row_number() OVER (PARTITION BY path ORDER BY line, \"column\", pattern_ord)::INT AS nth FROM f"
+    out["cache_keys"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, sha256(concat(pattern, chr(0), {REDACTED.format('match')}, chr(0), array_to_string(list_transform(context, lambda x: concat(x, chr(10))), ''))) AS cache_key FROM f"
+    out["only_verified"] = f"{A} SELECT path, line::INT AS line, \"column\", pattern, provider FROM a WHERE status = 'verified'"
+    out["shown_confidence"] = f"{A} SELECT pattern, verdict, round(confidence * 100)::INT AS percent, count(*) AS n FROM a GROUP BY ALL"
+    out["catalog_counts"] = f"WITH {CATALOG} SELECT strategy, verdict, count(*) AS n, count(DISTINCT kind) AS n_kinds FROM entries GROUP BY ALL"
+    answered = "CASE id WHEN 1 THEN {} WHEN 2 THEN {} ELSE {} END"
+    out["apply_host_verdicts"] = f"""{A}, numbered_ AS (SELECT *, (line * 31 + "column") % 1000 AS id FROM a) SELECT path, line::INT AS line, "column", pattern, {answered.format("'fixture'", "'unknown'", 'verdict')} AS verdict,
+  {answered.format("'later'", 'NULL', 'reason')} AS reason, {answered.format('0.75', 'NULL', 'confidence')}::DOUBLE AS confidence FROM numbered_"""
     out["org_union"] = f"{A} SELECT repo, pattern, count(*) AS n, count(DISTINCT concat(repo, '/', path)) AS n_files FROM a, (SELECT unnest(['acme/one', 'acme/two']) AS repo) GROUP BY ALL"
     git = f"""WITH patch AS ({PATCH_SQL.format(orders='orders')}), commits AS (SELECT repo, unnest(string_split(text, chr(1))) AS patch FROM patch),
 split AS (SELECT repo, row_number() OVER () AS seq, regexp_extract(patch, '^([^\\x1f\\n]*)', 1) AS sha, regexp_extract(patch, '^[^\\x1f\\n]*\\x1f([^\\n]*)', 1) AS subject, string_split(patch, chr(10)) AS raws FROM commits WHERE patch <> ''),
@@ -196,8 +204,9 @@ line_ AS (SELECT *, first + sum(CASE WHEN regexp_matches(raw, '^[+ ]') THEN 1 EL
 added AS (SELECT repo, sha, subject, path, line::INT AS line, substr(raw, 2) AS text FROM line_ WHERE starts_with(raw, '+') AND path IS NOT NULL)"""
     # Places of commits within a repository's text aren't compared: the query numbers them by patch.
     out["git_added_lines"] = f"{git} SELECT repo, sha, subject, path, line, text FROM added"
-    parts = " UNION ALL ".join(f"SELECT repo, sha, subject, path, line, {q(p.id)} AS pattern, regexp_extract_all(text, {q(p.gap)}, 1) AS b, regexp_extract_all(text, {q(p.gap)}, 2) AS v FROM added WHERE regexp_matches(text, {q(p.regex)})" for p in patterns())
+    parts = " UNION ALL ".join(f"SELECT repo, sha, subject, path, line, {q(p.id)} AS pattern, {p.ord} AS ord, regexp_extract_all(text, {q(p.gap)}, 1) AS b, regexp_extract_all(text, {q(p.gap)}, 2) AS v FROM added WHERE regexp_matches(text, {q(p.regex)})" for p in patterns())
     out["git_scan"] = f"{git}, hits AS ({parts}) SELECT repo, sha, subject, path, line, (strlen(b[1]) + 1)::INT AS \"column\", pattern, md5(v[1]) AS digest FROM hits"
+    out["per_commit_groups"] = f"{git}, hits AS ({parts}) SELECT repo, left(sha, 8) AS \"commit\", path, count(*) AS n, string_agg(pattern, ',' ORDER BY line, strlen(b[1]), ord) AS patterns FROM hits GROUP BY repo, sha, path"
     return out
 
 

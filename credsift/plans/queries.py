@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..functions.lists import PROVIDERS, SEEDS
@@ -12,6 +13,7 @@ from ..operators import baseline as base
 from ..operators import catalog, report, rewrite, verify
 from ..operators.classify import apply_host_verdicts, classify, fixture_path
 from ..operators.scan import candidate_lines, pragmas, scan, scan_history
+from ..operators.scan import in_order as ordered
 from ..sources.corpus import corpus, documents_as_files
 from ..sources.files import MAX_LINE_BYTES, doc_lines, scannable
 from ..sources.git_patch import added_lines, split_commits
@@ -260,11 +262,37 @@ def prompts(spark, sf_dir):
 
 
 def host_verdicts(spark, sf_dir):
-    rows = full(spark, sf_dir).select((F.crc32(F.concat_ws(":", "path", "line", "column", "pattern").cast("binary")) % 1000).alias("id"), "path", "line", "column", "pattern", "verdict", "reason", "confidence")
+    rows = full(spark, sf_dir).select(((F.col("line") * 31 + F.col("column")) % 1000).alias("id"), "path", "line", "column", "pattern", "verdict", "reason", "confidence")
     answers = spark.createDataFrame([('[{"id":1,"verdict":" Real ","reason":"said so","confidence":0.5},{"id":2,"verdict":"odd"},{"id":1,"verdict":"fixture","reason":"later","confidence":0.75}]',)], "json string")
     return apply_host_verdicts(rows, answers).select("path", "line", "column", "pattern", "verdict", "reason", "confidence")
 
 
+def in_order(spark, sf_dir):
+    rows = ordered(found(spark, sf_dir))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line", "column", "pattern_ord"))
+    return rows.select("path", "line", "column", "pattern", nth.alias("nth"))
+
+
+def cache_keys(spark, sf_dir):
+    return report.cache_keys(found(spark, sf_dir)).select("path", "line", "column", "pattern", "cache_key")
+
+
+def only_verified(spark, sf_dir):
+    return report.only_verified(full(spark, sf_dir)).select("path", "line", "column", "pattern", "provider")
+
+
+def shown_confidence(spark, sf_dir):
+    return full(spark, sf_dir).groupBy("pattern", "verdict", report.percent(F.col("confidence")).alias("percent")).agg(F.count("*").alias("n"))
+
+
+def catalog_counts(spark, sf_dir):
+    return catalog.counts(catalog.catalog_frame(spark))
+
+
+def by_commit(spark, sf_dir):
+    return report.by_commit_and_path(scan_history(added_lines(split_commits(patches(spark, sf_dir)))))
+
+
 def org_union(spark, sf_dir):
     rows = full(spark, sf_dir)
     both = [rows.select(F.lit(r).alias("repo"), F.concat(F.lit(r + "/"), "path").alias("path"), "pattern") for r in ("acme/one", "acme/two")]
@@ -289,6 +317,8 @@ QUERIES = {
     "rewrite_lines": rewrite_lines, "env_example_entries": env_example, "seed_commands": seeds, "rewrite_apply": rewrite_apply,
     "unified_diff": diffs, "git_added_lines": git_added, "git_scan": git_scan, "sarif_results": sarif, "prompt_candidates": prompts,
     "apply_host_verdicts": host_verdicts, "org_union": org_union, "stream_scan": stream_scan,
+    "findings_in_order": in_order, "cache_keys": cache_keys, "only_verified": only_verified, "shown_confidence": shown_confidence,
+    "catalog_counts": catalog_counts, "per_commit_groups": by_commit,
 }
 
 ORACLES = oracles.build()
