@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_main, langid, line_dedup, quality, repeats, shard_pack, simhash, token_store
+from . import bpe, centroids, decontam, html_main, langid, line_dedup, merkle, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -56,6 +56,14 @@ def op10_prefix_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_byte_cnn": op2_byte_cnn,
@@ -67,6 +75,12 @@ QUERIES = {
     "op8_host_suffix_array": op8_host_suffix_array,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_drake_centroids": op12_drake_centroids,
 }
 
-ORACLES: dict[str, str] = {"op5_segment_partition": line_dedup.REPORT_SQL}
+ORACLES: dict[str, str] = {
+    "op5_segment_partition": line_dedup.REPORT_SQL,
+    "op11_merkle_manifest": merkle.MANIFEST_SQL,
+    "op12_drake_centroids": centroids.CLUSTER_SQL,
+}
