@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, decontam, html_main, langid, line_dedup, merkle, quality, repeats, shard_pack, simhash, token_store
+from . import bpe, centroids, decontam, html_main, jaccard_join, langid, line_dedup, merkle, quality, repeats, shard_pack, simhash, token_store
 from ._common import table
 
 END_ID = 2
@@ -64,6 +64,10 @@ def op12_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_byte_cnn": op2_byte_cnn,
@@ -77,10 +81,12 @@ QUERIES = {
     "op10_prefix_interval_repeats": op10_prefix_interval_repeats,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_drake_centroids": op12_drake_centroids,
+    "op13_count_vector_rtree": op13_count_vector_rtree,
 }
 
 ORACLES: dict[str, str] = {
     "op5_segment_partition": line_dedup.REPORT_SQL,
     "op11_merkle_manifest": merkle.MANIFEST_SQL,
     "op12_drake_centroids": centroids.CLUSTER_SQL,
+    "op13_count_vector_rtree": jaccard_join.LINKED_SQL,
 }
