@@ -42,7 +42,7 @@ def test_names():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     if importlib.util.find_spec("credsift.llm") is not None:
-        assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+        assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 def test_windows_of_detections(spark):
