@@ -9,17 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import HINT, Pattern, any_pattern, patterns
+from ..functions.patterns import HINT, Pattern, patterns
 from ..sources.corpus import TAG
 from ..sources.files import MAX_LINE_BYTES, with_lines
+from ..sources.git_patch import at_lines, hunks
 
 CONTEXT_LINES = 3
 FINDING = ["path", "line", "column", "match", "pattern", "pattern_ord", "severity", "context"]
 
 
-def _worth(line: Column, rows: tuple[Pattern, ...]) -> Column:
-    """A line that may hold a match: short enough, with a hint, and then with any pattern."""
-    return F.when(F.octet_length(line) > MAX_LINE_BYTES, False).when(~line.rlike(HINT), False).otherwise(line.rlike(f"(?U){any_pattern(rows)}"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _there(p: Pattern, text: str) -> str:
+    """SQL for whether ``text`` holds a match of a pattern: its literals are looked for first, and only with one of them the expression is tried.
+
+    Where case doesn't count, literals speak for ASCII lines only.
+    """
+    found = f"{text} rlike {_quoted(p.java)}"
+    if p.consuming:
+        prefix, capture, suffix = p.consuming
+        found = f"exists(regexp_extract_all({text}, {_quoted(f'(?U){prefix}({capture}){suffix}')}, 1), v -> v rlike {_quoted(p.mark)})"
+    if not p.literals:
+        return found
+    low = f"lower({text})" if p.flags else text
+    some = " or ".join(f"contains({low}, {_quoted(x)})" for x in dict.fromkeys(p.literals))
+    if p.flags:
+        some = f"octet_length({text}) <> char_length({text}) or {some}"
+    return f"(({some}) and {found})"
+
+
+def _worth(text: str, rows: tuple[Pattern, ...]) -> str:
+    """SQL for a line that holds a match: a hint first, then the patterns whose literals it has."""
+    return f"({text} rlike {_quoted(HINT)} and ({' or '.join(_there(p, text) for p in rows)}))"
 
 
 def candidate_lines(files: DataFrame, context: int = CONTEXT_LINES, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
@@ -35,7 +58,7 @@ def candidate_lines(files: DataFrame, context: int = CONTEXT_LINES, rows: tuple[
         named = F.concat(pragmas(line(at)), pragmas(F.coalesce(line(at - 1), F.lit(""))))
         return F.struct((at + 1).alias("line"), line(at).alias("text"), window.alias("context"), named.alias("pragmas"))
 
-    at = F.filter(F.transform("lines", lambda x, i: F.when(_worth(x, rows), i)), lambda i: i.isNotNull())
+    at = F.expr(f"filter(transform(lines, (x, i) -> case when octet_length(x) <= {MAX_LINE_BYTES} and {_worth('x', rows)} then i end), i -> i is not null)")
     return with_lines(files).select("path", F.inline(F.transform(at, hit)))
 
 
@@ -44,22 +67,18 @@ def pragmas(line: Column, tag: str = TAG) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(rf"(?i)#?\s*{tag}:allow(?:\s+([a-z][a-z0-9_]*))?"), F.lit(1)), lambda x: F.lower(x))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _matches(p: Pattern) -> str:
     """SQL for every match of a pattern in ``text``: its value, and the byte (from 1) at which that starts."""
     group = lambda i: f"regexp_extract_all(text, {_quoted(p.chained)}, {i})"
     found = f"zip_with({group(1)}, {group(2)}, (b, v) -> named_struct('b', octet_length(b), 'v', v, 'n', octet_length(b) + octet_length(v)))"
     if not p.ends_with_value:
         found = f"zip_with({found}, {group(0)}, (z, w) -> named_struct('b', z.b, 'v', z.v, 'n', octet_length(w)))"
-    place = "aggregate(slice(s, 1, i), 0, (a, y) -> a + y.n) + z.b + 1"
-    row = f"named_struct('column', {place}, 'match', z.v, 'pattern', {_quoted(p.id)}, 'pattern_ord', {p.ord}, 'severity', {_quoted(p.severity)})"
-    there = f"text rlike {_quoted(p.java)}"
-    if p.literals:
-        there = f"({' or '.join(f'contains(text, {_quoted(x)})' for x in p.literals)}) and {there}"
-    return f"case when {there} then transform(array({found}), s -> transform(s, (z, i) -> {row}))[0] end"
+    # each match with the bytes before it, gathered in one pass
+    placed = f"aggregate({found}, named_struct('at', 0, 'rows', cast(array() as array<struct<column:int, match:string>>)), (a, z) -> named_struct('at', a.at + z.n, 'rows', a.rows || array(named_struct('column', a.at + z.b + 1, 'match', z.v))), a -> a.rows)"
+    if p.consuming:
+        placed = f"filter({placed}, z -> z.match rlike {_quoted(p.mark)})"
+    row = f"named_struct('column', z.column, 'match', z.match, 'pattern', {_quoted(p.id)}, 'pattern_ord', {p.ord}, 'severity', {_quoted(p.severity)})"
+    return f"case when {_there(p, 'text')} then transform({placed}, z -> {row}) end"
 
 
 def extract(lines: DataFrame, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
@@ -85,8 +104,8 @@ def in_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.split("path", "/"), "line", "column", "pattern_ord")
 
 
-def scan_history(added: DataFrame, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
-    """Findings in added lines of a history; suppression comments don't count there."""
+def scan_history(commits: DataFrame, context: int = CONTEXT_LINES, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
+    """Findings in lines that commits (repo, seq, patch) add, of any length; suppression comments don't count there."""
     rows = rows or patterns()
-    worth = added.filter(F.when(F.octet_length("text") > (2 << 20), False).when(~F.col("text").rlike(HINT), False).otherwise(F.col("text").rlike(f"(?U){any_pattern(rows)}")))
-    return extract(worth, rows)
+    at = F.expr(f"filter(transform(lines, (x, i) -> case when startswith(x, '+') and {_worth('x', rows)} then i end), i -> i is not null)")
+    return extract(at_lines(hunks(commits), at, context), rows)

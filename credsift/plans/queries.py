@@ -17,7 +17,7 @@ from ..operators.scan import in_order as ordered
 from ..sources.corpus import corpus, documents_as_files
 from ..sources.files import MAX_LINE_BYTES, doc_lines, scannable
 from ..sources.git_patch import added_lines, split_commits
-from ..sources.store import written
+from ..sources.store import spread, written
 from . import oracles
 
 SALT = b"credsift-query-salt-0123456789ab"
@@ -73,7 +73,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def patches(spark, sf_dir) -> DataFrame:
-    return spark.sql(oracles.PATCH_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(oracles.PATCH_SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")))
 
 
 def doc_lines_q(spark, sf_dir):
@@ -246,11 +246,11 @@ def diffs(spark, sf_dir):
 
 
 def git_added(spark, sf_dir):
-    return added_lines(split_commits(patches(spark, sf_dir))).drop("context", "seq")
+    return added_lines(split_commits(patches(spark, sf_dir)), None).drop("seq")
 
 
 def git_scan(spark, sf_dir):
-    return scan_history(added_lines(split_commits(patches(spark, sf_dir)))).select("repo", "sha", "subject", "path", "line", "column", "pattern", F.md5(F.col("match").cast("binary")).alias("digest"))
+    return scan_history(split_commits(patches(spark, sf_dir))).select("repo", "sha", "subject", "path", "line", "column", "pattern", F.md5(F.col("match").cast("binary")).alias("digest"))
 
 
 def sarif(spark, sf_dir):
@@ -290,7 +290,7 @@ def catalog_counts(spark, sf_dir):
 
 
 def by_commit(spark, sf_dir):
-    return report.by_commit_and_path(scan_history(added_lines(split_commits(patches(spark, sf_dir)))))
+    return report.by_commit_and_path(scan_history(split_commits(patches(spark, sf_dir))))
 
 
 def org_union(spark, sf_dir):

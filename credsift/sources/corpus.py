@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import spread
+
 TAG = "credsift"
 
 #: {orders} is the table. Both engines read this text.
@@ -51,10 +53,10 @@ SELECT path, concat(head, chr(10), body, chr(10), tail) AS text FROM (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: one small file for each order."""
-    return spark.sql(CORPUS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(CORPUS_SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")))
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: the ``documents`` table, each row a text file."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select(F.concat(F.lit("docs_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")

@@ -1,26 +1,27 @@
-"""Commit histories: the text of ``git log -p`` as rows of added lines, by windows over each commit's lines."""
+"""Commit histories: the text of ``git log -p`` as rows of hunks and of added lines.
 
-from __future__ import annotations
+A patch is cut into its files and a file into its hunks, so a large commit is many small rows; within a hunk, lines of the new
+file are counted by their place in an array. Nothing is sorted or shuffled.
+"""
 
-import subprocess
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-COMMIT, FIELD = "\x01", "\x1f"
+from .git_source import COMMIT, FIELD, GitHistory
+
+CONTEXT_LINES = 3
 
 
-def log_command(context: int = 3, since: str | None = None, until: str | None = None, all_refs: bool = False, max_count: int | None = None) -> list[str]:
-    """The one command whose output is parsed."""
-    span = ["--all"] if all_refs else [f"{since}..{until or 'HEAD'}"] if since else [until or "HEAD"]
-    return ["git", "log", "-p", f"-U{context}", "--no-color", "--no-renames", "--root", "--diff-filter=AM", f"--pretty=tformat:{COMMIT}%H{FIELD}%s", *([f"--max-count={max_count}"] if max_count else []), *span]
+def read_history(spark: SparkSession, *repositories: str, since: str | None = None, until: str | None = None, all_refs: bool = False, max_count: int | None = None, paths: tuple[str, ...] = (), context: int = CONTEXT_LINES) -> DataFrame:
+    """repo, seq, patch: one row for each commit of repositories in a folder that driver and executors see."""
+    return spark.read.format(GitHistory.ready(spark)).options(**GitHistory.options_of(repositories, since, until, all_refs, max_count, paths, context)).load()
 
 
-def read_history(spark: SparkSession, repository: str, **options) -> DataFrame:
-    """repo, seq, patch: one row for each commit of a local repository."""
-    out = subprocess.run(log_command(**options), cwd=repository, capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    return split_commits(spark.createDataFrame([(repository, out)], "repo string, text string"))
+def new_history(spark: SparkSession, *repositories: str, paths: tuple[str, ...] = (), context: int = CONTEXT_LINES) -> DataFrame:
+    """The same as a stream: all commits of HEAD first, then those that come."""
+    return spark.readStream.format(GitHistory.ready(spark)).options(**GitHistory.options_of(repositories, paths=paths, context=context)).load()
 
 
 def split_commits(patches: DataFrame) -> DataFrame:
@@ -28,30 +29,44 @@ def split_commits(patches: DataFrame) -> DataFrame:
     return patches.select("repo", F.posexplode(F.split("text", COMMIT)).alias("seq", "patch")).filter(F.length("patch") > 0)
 
 
-def added_lines(commits: DataFrame) -> DataFrame:
-    """repo, seq, sha, subject, path, line, text, context: lines that a commit adds, numbered in the new file.
+def hunks(commits: DataFrame) -> DataFrame:
+    """repo, seq, sha, subject, path, first (line of the new file), lines (of the new file, each after ``+`` or a blank).
 
-    The lines of a commit are one window partition; files and hunks are islands in it. Deleted files and quoted paths
-    have no path and are dropped. A line that starts ``+++ `` names a file only where no hunk of it has begun.
+    Deleted files and quoted paths have no path and are dropped. Only what precedes a file's first hunk names it: an added line
+    may start with ``++ b/``.
     """
-    head = F.substring_index(F.substring_index("patch", "\n", 1), FIELD, 1)
-    subject = F.substring_index(F.substring_index("patch", "\n", 1), FIELD, -1)
-    rows = commits.select("repo", "seq", head.alias("sha"), subject.alias("subject"), F.posexplode(F.split("patch", "\n")).alias("n", "raw")).filter("n > 0")
-    order = Window.partitionBy("repo", "sha", "seq").orderBy("n")
-    rows = rows.withColumn("file", F.sum(F.col("raw").startswith("diff --git ").cast("int")).over(order))
-    in_file = Window.partitionBy("repo", "sha", "seq", "file").orderBy("n")
-    rows = rows.withColumn("hunk", F.sum(F.col("raw").rlike(r"^@@ ").cast("int")).over(in_file))
-    named = F.when((F.col("hunk") == 0) & F.col("raw").startswith("+++ b/"), F.substring("raw", 7, 1 << 20))
-    rows = rows.withColumn("path", F.last(named, ignorenulls=True).over(in_file))
-    in_hunk = Window.partitionBy("repo", "sha", "seq", "file", "hunk").orderBy("n")
-    start = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).cast("int")
-    rows = rows.withColumn("first", F.first(F.when(F.col("raw").rlike("^@@ "), start), ignorenulls=True).over(in_hunk))
-    moves = F.col("raw").rlike(r"^[+ ]") & (F.col("hunk") > 0)
-    rows = rows.withColumn("line", F.col("first") + F.sum(moves.cast("int")).over(in_hunk) - 1)
-    body = rows.filter(moves & F.col("path").isNotNull()).withColumn("text", F.regexp_replace(F.substring("raw", 2, 1 << 20), r"\r$", ""))
-    around = Window.partitionBy("repo", "sha", "seq", "file", "hunk").orderBy("n").rowsBetween(-3, 3)
-    body = body.withColumn("context", F.collect_list("text").over(around))
-    return body.filter(F.col("raw").startswith("+")).select("repo", "seq", "sha", "subject", "path", "line", "text", "context")
+    head = F.substring_index("patch", "\n", 1)
+    files = commits.select("repo", "seq", F.substring_index(head, FIELD, 1).alias("sha"), F.substring_index(head, FIELD, -1).alias("subject"), F.explode(F.split("patch", "\n(?=diff --git )")).alias("file"))
+    parts = files.select("repo", "seq", "sha", "subject", F.split("file", "\n(?=@@)").alias("parts")).filter(F.size("parts") > 1)
+    path = F.nullif(F.regexp_extract(F.get("parts", F.lit(0)), r"(?m)^\+\+\+ b/(.*)$", 1), F.lit(""))
+    rows = parts.withColumn("path", path).filter("path is not null")
+    rows = rows.select("repo", "seq", "sha", "subject", "path", F.explode(F.slice("parts", 2, F.size("parts"))).alias("hunk"))
+    first = F.regexp_extract(F.substring_index("hunk", "\n", 1), r"^@@[^+]*\+(\d+)", 1)
+    lines = F.filter(F.split("hunk", "\n"), lambda x: x.startswith("+") | x.startswith(" "))
+    return rows.select("repo", "seq", "sha", "subject", "path", F.nullif(first, F.lit("")).cast("int").alias("first"), lines.alias("lines")).filter("first > 0")
+
+
+def _text(line: Column) -> Column:
+    return F.regexp_replace(F.substring(line, F.lit(2), F.length(line)), r"\r$", "")
+
+
+def at_lines(rows: DataFrame, at: Column, context: int | None = CONTEXT_LINES) -> DataFrame:
+    """The lines of ``hunks`` rows at places (an array): repo, seq, sha, subject, path, line, text and, unless None, context."""
+
+    def row(i: Column) -> Column:
+        fields = [(F.col("first") + i).alias("line"), _text(F.get("lines", i)).alias("text")]
+        if context is not None:
+            window = F.slice("lines", F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context)) + context + 1)
+            fields.append(F.transform(window, _text).alias("context"))
+        return F.struct(*fields)
+
+    return rows.select("repo", "seq", "sha", "subject", "path", F.inline(F.transform(at, row)))
+
+
+def added_lines(commits: DataFrame, context: int | None = CONTEXT_LINES) -> DataFrame:
+    """repo, seq, sha, subject, path, line, text, context: lines that a commit adds, numbered in the new file."""
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x.startswith("+"), i)), lambda i: i.isNotNull())
+    return at_lines(hunks(commits), at, context)
 
 
 def path_allowed(path: Column, paths: list[str]) -> Column:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table below so many bytes for each core has fewer input splits than cores.
+SPLIT_BYTES = 128 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only a local session may do without: it gets a temporary folder; on a cluster that is an error."""
@@ -25,3 +30,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, its rows dealt over all cores where its files are fewer than these.
+
+    A row group is one task's work; a small table is often a single one, which would leave all other cores idle. Tables of many
+    files are left as they are: nothing is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < cores * SPLIT_BYTES and len(table.inputFiles()) < cores:
+        return table.repartition(cores)
+    return table
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_credsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="credsift-")) / "credsift.zip"  # Spark copies it to the workers
+    with zipfile.ZipFile(target, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._credsift_shipped = True

@@ -17,7 +17,7 @@ from credsift.operators import catalog, report, rewrite, verify
 from credsift.operators.classify import classify, dummy, env_reference, placeholder, secret_reference
 from credsift.operators.scan import scan, scan_history
 from credsift.sources.files import doc_lines, glob_regex, ignored, read_files, scannable
-from credsift.sources.git_patch import added_lines, read_history
+from credsift.sources.git_patch import read_history
 
 KEY = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
 OTHER = "AK" + "IA" + "QRSTUVWXYZ234567"
@@ -264,9 +264,9 @@ def test_history(spark, tmp_path):
         (tmp_path / "a.rb").write_text(text)
         git("add", "-A")
         git("commit", "-qm", f"c{n}")
-    rows = scan_history(added_lines(read_history(spark, str(tmp_path)))).collect()
+    rows = scan_history(read_history(spark, str(tmp_path))).collect()
     assert [(r.subject, r.path, r.line, r.column, r.match) for r in rows] == [("c1", "a.rb", 2, 5, KEY)]
-    assert scan_history(added_lines(read_history(spark, str(tmp_path), since="HEAD~1"))).count() == 0
+    assert scan_history(read_history(spark, str(tmp_path), since="HEAD~1")).count() == 0
 
 
 def test_no_report_shows_a_value(spark):
