@@ -207,6 +207,23 @@ added AS (SELECT repo, sha, subject, path, line::INT AS line, substr(raw, 2) AS
     parts = " UNION ALL ".join(f"SELECT repo, sha, subject, path, line, {q(p.id)} AS pattern, {p.ord} AS ord, regexp_extract_all(text, {q(p.gap)}, 1) AS b, regexp_extract_all(text, {q(p.gap)}, 2) AS v FROM added WHERE regexp_matches(text, {q(p.regex)})" for p in patterns())
     out["git_scan"] = f"{git}, hits AS ({parts}) SELECT repo, sha, subject, path, line, (strlen(b[1]) + 1)::INT AS \"column\", pattern, md5(v[1]) AS digest FROM hits"
     out["per_commit_groups"] = f"{git}, hits AS ({parts}) SELECT repo, left(sha, 8) AS \"commit\", path, count(*) AS n, string_agg(pattern, ',' ORDER BY line, strlen(b[1]), ord) AS patterns FROM hits GROUP BY repo, sha, path"
+    # The rules as expressions written out by hand.
+    out["ignored_paths"] = f"""WITH corpus AS ({CORPUS_SQL.format(orders='orders')}),
+rules(folder, kind, line, rule, regex, back, folders) AS (VALUES
+  ('', 1, 0, '*.js', '^(.*/)?[^/]*\\.js$', false, false), ('', 1, 1, '!x_7*.js', '^(.*/)?x_7[^/]*\\.js$', true, false), ('', 1, 2, '/docs/', '^docs$', false, true),
+  ('', 1, 4, 'svc_1*/', '^(.*/)?svc_1[^/]*$', false, true), ('', 1, 5, '!svc_1*/.env.local', '^svc_1[^/]*/\\.env\\.local$', true, false),
+  ('lib', 0, 0, concat('!x_3*.js', chr(13)), '^(.*/)?x_3[^/]*\\.js$', true, false), ('lib', 0, 1, 'x_31*.js', '^(.*/)?x_31[^/]*\\.js$', false, false),
+  ('app', 1, 0, 'config_?.rb  ', '^(.*/)?config_[^/]\\.rb$', false, false), ('app', 1, 1, 'config_1[0-4]*.rb', '^(.*/)?config_1[0-4][^/]*\\.rb$', false, false), ('app', 1, 2, '!config_12*.rb', '^(.*/)?config_12[^/]*\\.rb$', true, false),
+  ('', 2, 0, 'spec/**', '^spec/.+$', false, false), ('', 2, 1, 'infra/*_1*.yaml', '^infra/[^/]*_1[^/]*\\.yaml$', false, false)),
+every AS (SELECT * FROM rules UNION ALL SELECT concat('svc_', o_orderkey), 1, 0, '.env*', '^(.*/)?\\.env[^/]*$', false, false FROM orders WHERE o_orderkey % 9 = 5 AND o_orderkey % 4 = 0
+  UNION ALL SELECT concat('svc_', o_orderkey), 1, 1, '!.env.local', '^(.*/)?\\.env\\.local$', true, false FROM orders WHERE o_orderkey % 9 = 5 AND o_orderkey % 8 = 0),
+parts AS (SELECT path, string_split(path, '/') AS p FROM corpus),
+entries AS (SELECT path, n < len(p) AS is_folder, array_to_string(p[1:n], '/') AS entry, p[1:n] AS e FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS n FROM parts)),
+folders AS (SELECT DISTINCT entry, is_folder, array_to_string(e[1:m], '/') AS folder FROM (SELECT entry, is_folder, e, unnest(range(0, len(e))) AS m FROM entries)),
+hits AS (SELECT entry, is_folder, back, rule, row_number() OVER (PARTITION BY entry, is_folder ORDER BY kind, length(folder) DESC, line DESC) AS nth FROM folders JOIN every USING (folder)
+  WHERE regexp_matches(CASE WHEN folder = '' THEN entry ELSE substr(entry, length(folder) + 2) END, regex) AND (is_folder OR NOT folders)),
+gone AS (SELECT path, arg_min(entry, length(entry)) AS decided_at, arg_min(rule, length(entry)) AS rule FROM entries JOIN hits USING (entry, is_folder) WHERE nth = 1 AND NOT back GROUP BY path)
+SELECT DISTINCT path, decided_at IS NOT NULL AS ignored, decided_at, rule FROM corpus LEFT JOIN gone USING (path)"""
     return out
 
 

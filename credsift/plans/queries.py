@@ -14,9 +14,10 @@ from ..operators import catalog, report, rewrite, verify
 from ..operators.classify import apply_host_verdicts, classify, fixture_path
 from ..operators.scan import candidate_lines, pragmas, scan, scan_history
 from ..operators.scan import in_order as ordered
-from ..sources.corpus import corpus, documents_as_files
+from ..sources.corpus import corpus, documents_as_files, ignore_files
 from ..sources.files import MAX_LINE_BYTES, doc_lines, scannable
 from ..sources.git_patch import added_lines, split_commits
+from ..sources.ignore_rules import decided, rule_lines
 from ..sources.store import spread, written
 from . import oracles
 
@@ -125,6 +126,10 @@ def path_filter(spark, sf_dir):
     return rows.select("path", scannable(F.col("path")).alias("scanned"), fixture_path(F.col("path")).alias("fixture_path"), fn.language(F.col("path")).alias("language"))
 
 
+def ignored_paths(spark, sf_dir):
+    return decided(corpus(spark, sf_dir), rule_lines(ignore_files(spark, sf_dir)))
+
+
 def redacted_view(spark, sf_dir):
     return report.finding_view(full(spark, sf_dir))
 
@@ -318,7 +323,7 @@ QUERIES = {
     "unified_diff": diffs, "git_added_lines": git_added, "git_scan": git_scan, "sarif_results": sarif, "prompt_candidates": prompts,
     "apply_host_verdicts": host_verdicts, "org_union": org_union, "stream_scan": stream_scan,
     "findings_in_order": in_order, "cache_keys": cache_keys, "only_verified": only_verified, "shown_confidence": shown_confidence,
-    "catalog_counts": catalog_counts, "per_commit_groups": by_commit,
+    "catalog_counts": catalog_counts, "per_commit_groups": by_commit, "ignored_paths": ignored_paths,
 }
 
 ORACLES = oracles.build()

@@ -50,6 +50,20 @@ SELECT path, concat(head, chr(10), body, chr(10), tail) AS text FROM (
 ) AS files
 """
 
+#: The ignore files of that tree. {orders} is the table; both engines read this text.
+IGNORE_SQL = """
+SELECT '.gitignore' AS path, concat('*.js', chr(10), '!x_7*.js', chr(10), '/docs/', chr(10), '# note', chr(10), 'svc_1*/', chr(10), '!svc_1*/.env.local', chr(10)) AS text
+UNION ALL SELECT 'lib/.ignore', concat('!x_3*.js', chr(13), chr(10), 'x_31*.js')
+UNION ALL SELECT 'app/.gitignore', concat('config_?.rb  ', chr(10), 'config_1[0-4]*.rb', chr(10), '!config_12*.rb')
+UNION ALL SELECT '.git/info/exclude', concat('spec/**', chr(10), 'infra/*_1*.yaml')
+UNION ALL SELECT concat('svc_', o_orderkey, '/.gitignore'), CASE WHEN o_orderkey % 8 = 0 THEN concat('.env*', chr(10), '!.env.local') ELSE '.env*' END FROM {orders} WHERE o_orderkey % 9 = 5 AND o_orderkey % 4 = 0
+"""
+
+
+def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: ignore files at the root, in folders, and in a part of the services' folders."""
+    return spark.sql(IGNORE_SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")))
+
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: one small file for each order."""

@@ -16,7 +16,7 @@ from credsift.operators import baseline as base
 from credsift.operators import catalog, report, rewrite, verify
 from credsift.operators.classify import classify, dummy, env_reference, placeholder, secret_reference
 from credsift.operators.scan import scan, scan_history
-from credsift.sources.files import doc_lines, glob_regex, ignored, read_files, scannable
+from credsift.sources.files import doc_lines, glob_regex, read_files, scannable
 from credsift.sources.git_patch import read_history
 
 KEY = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
@@ -125,9 +125,6 @@ def test_paths(spark):
     rows = files(spark, *((p, "") for p in ("a.rb", "b.png", "Dockerfile", "x/.env.local", ".claude/worktrees/w/a.rb", "worktrees/a.rb", "A.PY", "vendor/a.rb")))
     assert {r.path for r in rows.filter(scannable(F.col("path"), ("vendor/**",))).collect()} == {"a.rb", "x/.env.local", "worktrees/a.rb", "A.PY"}
     assert re.search(glob_regex("*.min.js"), "a/b.min.js") and not re.search(glob_regex("/a/*.js"), "a/b/c.js") and re.search(glob_regex("a/**/c.js"), "a/b/c.js")
-    rules = ["*.log", "!keep.log", "build/", "# note", ""]
-    got = {p: one(spark, ignored(F.lit(p), rules)) for p in ("x.log", "keep.log", "build/a.rb", "a/build/b.rb", "build", "a.rb")}
-    assert got == {"x.log": True, "keep.log": False, "build/a.rb": True, "a/build/b.rb": True, "build": False, "a.rb": False}
 
 
 def test_files(spark, tmp_path):
