@@ -1,7 +1,7 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of ``LEAST`` or more, joined by count-vector R-trees.
 
-A set becomes a point: its shingles are hashed into ``GROUPS`` groups, and a coordinate counts those of one group. Two sets
-share at most the sum of the coordinates' minima, and likewise everything below two nodes of the tree at most that of the
+A set becomes a point: its shingles are hashed into groups, one for about ``SHARE`` shingles, and a coordinate counts those of
+one group; sets of other sizes are compared on the coarser of their groupings. Two sets share at most the sum of the coordinates' minima, and likewise everything below two nodes of the tree at most that of the
 nodes' greatest counts; a pair, or two subtrees, whose bound is too small for the similarity is passed over. What is left
 is verified on the whole sets.
 
@@ -30,14 +30,23 @@ from ._common import NO_ID, bounded, ship_package, staged, text_chunks
 from .components import connected_components
 from .near_copies import LEAST, SHINGLE, set_hash, shingle_set
 
-GROUPS, LEAF = 128, 16
-CROWD, HOT = 64, 200_000
+SHARE, GROUPS, LEAF = 8, (64, 8_192), 16
+CROWD, HOT = 256, 200_000
 #: Sets of a block whose counts are joined in one task; rows of one task; shingles of a block or a task that verifies.
 BLOCK, BAG, WEIGHT = 2_048, 20_000, 500_000
 
 
-def counts(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def grouping(n: int) -> int:
+    """The number of groups of a set of ``n``, a power of two; similar sets' numbers are equal or neighbours."""
+    return min(max(1 << max(0, (n - 1) // SHARE).bit_length(), GROUPS[0]), GROUPS[1])
+
+
+def counts(found: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector if len(vector) == groups else vector.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def prefix_size(n: int) -> int:
@@ -97,10 +106,20 @@ class CountTree:
             yield own, others, may & (own[:, None] != others)
 
 
-def possible(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+def met(vectors: list[np.ndarray], sizes: np.ndarray):
+    """(i, js, may) of ``CountTree.joined`` for points of any groupings: each pair on the coarser of its two."""
+    width = np.array([len(v) for v in vectors])
+    for groups in np.unique(width):
+        rows = np.flatnonzero((width == groups) | (width == 2 * groups))
+        fine = width[rows] != groups
+        for own, others, may in CountTree(np.stack([folded(vectors[i], groups) for i in rows]), sizes[rows]).joined():
+            yield rows[own], rows[others], may & ~(fine[own][:, None] & fine[others])
+
+
+def possible(vectors: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
     """Which points have a partner by the bound; with ``side``, on the other side."""
     out = np.zeros(len(sizes), bool)
-    for own, others, may in CountTree(vectors, sizes).joined():
+    for own, others, may in met(vectors, sizes):
         if side is not None:
             may = may & (side[own][:, None] != side[others])
         out[own] |= may.any(1)
@@ -114,7 +133,7 @@ def forest(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
     words = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
     label, out = np.unique(label, return_inverse=True)[1], []
     held = np.zeros(int(size.sum()), bool)
-    for own, others, may in CountTree(np.stack([counts(s) for s in sets]), size).joined():
+    for own, others, may in met([counts(s, grouping(len(s))) for s in sets], size):
         for i, row in zip(own.tolist(), may):
             js = others[row & (label[others] != label[i])]
             if not len(js):
@@ -141,13 +160,13 @@ def _groups(table, *by: str):
 def _mark(bag):
     import pyarrow as pa
 
-    vectors = np.frombuffer(b"".join(bag.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
+    vectors = [np.frombuffer(v, np.int32) for v in bag.column("counts").to_pylist()]
     n, p, q, own = (bag.column(c).to_numpy() for c in ("n", "p", "q", "own"))
     keep = np.zeros(len(n), bool)
     for rows in _groups(bag, "pivot", "p", "q"):
         if len(rows) > 1:
             side = own[rows] if p[rows[0]] != q[rows[0]] else None
-            keep[rows] = possible(vectors[rows], n[rows], side)
+            keep[rows] = possible([vectors[i] for i in rows], n[rows], side)
     return bag.select(["pivot", "fp"]).filter(pa.array(keep))
 
 
@@ -195,16 +214,16 @@ def marks(documents: DataFrame) -> DataFrame:
 
     def columns(pa, ids, sigs, sets):
         first = [s[: prefix_size(len(s))] for s in sets]
-        return [ids, sigs, pa.array(map(set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(pa, first), pa.array([counts(s).tobytes() for s in sets], pa.binary())]
+        return [ids, sigs, pa.array(map(set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(pa, first), pa.array([counts(s, grouping(len(s))).tobytes() for s in sets], pa.binary())]
 
     return _each_set(_rows(documents), "doc_id long, sig long, fp long, n long, keys array<long>, counts binary", columns)
 
 
 def _representatives(documents: DataFrame, best: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that ``best`` (struct of doc_id and sig) names, once each."""
+    """The rows of ``documents`` that ``best`` (struct of doc_id and sig) names."""
     named = best.select(F.coalesce("best.doc_id", F.lit(NO_ID)).alias("_id"), F.col("best.doc_id").isNull().alias("none"), F.col("best.sig").alias("sig"))
     keyed = _rows(documents).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("none", F.col("doc_id").isNull())
-    return keyed.join(bounded(named), ["_id", "none", "sig"], "left_semi").dropDuplicates(["_id", "none", "sig"]).select("doc_id", "sig", "text")
+    return keyed.join(bounded(named), ["_id", "none", "sig"], "left_semi").select("doc_id", "sig", "text")
 
 
 def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -218,7 +237,7 @@ def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         redealt = distinct.join(keyed.join(F.broadcast(late), "key", "left_semi").select("fp").distinct(), "fp", "left_semi")
         numbers = np.sort(np.array(hot, np.int64).view(np.uint64))
         more = _each_set(_representatives(documents, redealt), "fp long, keys array<long>", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), _lists(pa, [leading(s, numbers) for s in sets])])
-        more = staged(more.select("fp", F.explode("keys").alias("key")), "later-shingles")
+        more = staged(more.select("fp", F.explode("keys").alias("key")).distinct(), "later-shingles")
         shared = shared.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
         met = keyed.join(bounded(shared.select("key")), "key").join(F.broadcast(late), "key", "left_anti").union(more.select("key", "fp"))
     else:
@@ -240,18 +259,20 @@ def _bagged(rows: DataFrame, weight, limit: int) -> DataFrame:
     return rows.withColumn("bag", F.pmod(F.xxhash64("pivot", "p", "q"), F.lit(bags)))
 
 
-def links(documents: DataFrame, distinct: DataFrame) -> DataFrame:
-    """a, b: links between fps (of ``distinct``: fp, best, n, keys, counts) that connect all similar sets."""
+def links(documents: DataFrame, distinct: DataFrame, repeated: bool = True) -> DataFrame:
+    """a, b: links between fps (of ``distinct``: fp, best, n, keys, counts) that connect all similar sets; whether rows may be repeated."""
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     two = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
     dealt = _in_blocks(_dealt(documents, distinct), F.lit(1), BLOCK).withColumn("other", F.explode(every)).select("pivot", *two, "own", "fp")
     bags = _bagged(staged(dealt, "dealt"), F.lit(1), BAG).join(distinct.select("fp", "n", "counts"), "fp")
     pairs = bags.groupBy("bag").applyInArrow(_mark, "pivot long, fp long").distinct()
     pairs = staged(pairs.join(distinct.select("fp", "n"), "fp"), "possible")
+    same = pairs.groupBy("pivot").agg(F.count("*").alias("m"), F.min("fp").alias("low"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum("n").alias("weight"))
+    pairs = pairs.join(bounded(staged(same.groupBy("m", "low", "x", "weight").agg(F.min("pivot").alias("pivot")).select("pivot"), "kept-groups")), "pivot")  # groups of the same sets once
 
     wanted = distinct.join(bounded(pairs.select("fp").distinct()), "fp", "left_semi")
     sets = _each_set(_representatives(documents, wanted), "fp long, set binary", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())])
-    sets = staged(sets, "shingle-sets")
+    sets = staged(sets.dropDuplicates(["fp"]) if repeated else sets, "shingle-sets")
     blocked = staged(_in_blocks(pairs, F.col("n"), WEIGHT), "blocked")
     lead = blocked.groupBy("pivot").agg(F.min("fp").alias("lead"))
     everywhere = F.when(F.col("fp") == F.col("lead"), every).otherwise(F.array("own"))
@@ -279,7 +300,8 @@ def linked(documents: DataFrame) -> DataFrame:
     some = marked.filter("n > 0")
     distinct = some.groupBy("fp").agg(F.min(row).alias("best"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
     distinct = staged(distinct, "distinct-sets")
-    roots = staged(connected_components(links(documents, distinct)), "roots")
+    repeated = bool(marked.groupBy("doc_id", "sig").count().filter("count > 1").limit(1).count())
+    roots = staged(connected_components(links(documents, distinct, repeated)), "roots")
     owner = distinct.select("fp", "low", "copies").join(roots, distinct.fp == roots.node, "left")
     owner = staged(owner.filter("copies > 1 or root is not null").select("fp", "low", F.coalesce("root", "fp").alias("root")), "owners")
     smallest = owner.join(owner.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")

@@ -208,16 +208,22 @@ def test_join_on_edges(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_neighbouring_sizes_have_neighbouring_groupings():
+    for n in range(1, 60_000, 7):
+        assert jaccard_join.grouping(-(-5 * n // 4)) in (jaccard_join.grouping(n), 2 * jaccard_join.grouping(n))
+
+
 def test_no_pair_is_lost_to_the_tree():
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(40):
-        base = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        base = rng.integers(0, 1 << 63, rng.integers(1, 1500), dtype=np.uint64)
         sets += [np.unique(np.where(rng.random(len(base)) < share, rng.integers(0, 1 << 63, len(base), dtype=np.uint64), base)) for share in (0, 0.05, 0.1, 0.3)]
     similar = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
-    tree = jaccard_join.CountTree(np.stack([jaccard_join.counts(s) for s in sets]), np.array([len(s) for s in sets]))
-    met = {(min(own[a], others[b]), max(own[a], others[b])) for own, others, may in tree.joined() for a, b in np.argwhere(may)}
-    assert similar <= met and len(met) < len(sets) ** 2 / 8
+    vectors = [jaccard_join.counts(s, jaccard_join.grouping(len(s))) for s in sets]
+    joined = jaccard_join.met(vectors, np.array([len(s) for s in sets]))
+    met = {(min(own[a], others[b]), max(own[a], others[b])) for own, others, may in joined for a, b in np.argwhere(may)}
+    assert similar <= met and len(met) < len(sets) ** 2 / 8 and len({len(v) for v in vectors}) > 1
     for i, j in similar:
         first = [set(s[: jaccard_join.prefix_size(len(s))].tolist()) for s in (sets[i], sets[j])]
         assert first[0] & first[1]
