@@ -25,6 +25,25 @@ def fingerprint(value: Column, salt: bytes) -> Column:
     return F.regexp_replace(F.translate(F.base64(digest), "+/", "-_"), "=+$", "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC-SHA256 (binary) of a message under a key, both binary columns."""
+
+    def padded(digits: Column, byte: int) -> Column:
+        word = int.from_bytes(bytes([byte] * 8), "big")
+        eight = (F.lpad(F.hex(F.conv(F.substring(digits, 16 * i + 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(word))), 16, "0") for i in range(8))
+        return F.unhex(F.concat(*eight))
+
+    def digest(digits: Column) -> Column:
+        return F.unhex(F.sha2(F.concat(padded(digits, 0x5C), F.unhex(F.sha2(F.concat(padded(digits, 0x36), message), 256))), 256))
+
+    return bound(bound(key, lambda k: F.rpad(F.hex(F.when(F.octet_length(k) > 64, F.unhex(F.sha2(k, 256))).otherwise(k)), 128, "0")), digest)
+
+
 def load_salt(path: str | None, create: bool = False) -> bytes:
     """The salt in a file (base64, 16 bytes at least); made where ``create``; without a file a fresh one for this run."""
     if path and os.path.exists(path):

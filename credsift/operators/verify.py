@@ -17,6 +17,8 @@ from ..functions.lists import PROVIDERS, UNVERIFIED
 from ..functions.patterns import patterns
 
 FALLBACK = "external_scanner"
+#: Begins the error of a request that can't be made for want of a paired value.
+MISSING = "missing: "
 RESPONSE = "provider string, match string, http_status int, body string, error string"
 
 
@@ -59,7 +61,7 @@ def outcome() -> Column:
         if fields:
             meta = F.when(F.col("provider") == name, F.to_json(F.struct(*(F.get_json_object(body, f"$.{x}").alias(x) for x in fields.split())))).otherwise(meta)
     status = F.when(F.col("error").isNotNull(), "unverified").when(refused | F.coalesce(bad, F.lit(False)), "invalid").when(good, "verified").otherwise("unverified")
-    reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("network: "), F.left("error", F.lit(120)))).when(status == "unverified", F.concat(F.lit("unexpected HTTP "), F.coalesce(code.cast("string"), F.lit("-"))))
+    reason = F.when(F.col("error").startswith(MISSING), F.expr(f"substring(error, {len(MISSING) + 1})")).when(F.col("error").isNotNull(), F.concat(F.lit("network: "), F.left("error", F.lit(120)))).when(status == "unverified", F.concat(F.lit("unexpected HTTP "), F.coalesce(code.cast("string"), F.lit("-"))))
     return F.struct(status.alias("status"), reason.alias("status_reason"), F.when(status == "verified", meta).alias("meta"))
 
 

@@ -7,6 +7,7 @@ import re
 from ..functions.lists import (
     APP_PATHS, CALLS, CONFIDENCE, DUMMY_MARKERS, ENV_REFERENCES, EXTENSIONS, FIXTURE_PATHS, LANGUAGES, PLACEHOLDERS, PROVIDERS, REFERENCE_KEYS, SEEDS, SEVERITIES, UNVERIFIED,
 )
+from ..functions.endpoints import ENDPOINTS
 from ..functions.patterns import any_pattern, patterns
 from ..operators.catalog import sample_entries
 from ..sources.corpus import CORPUS_SQL, TAG
@@ -207,6 +208,7 @@ added AS (SELECT repo, sha, subject, path, line::INT AS line, substr(raw, 2) AS
     parts = " UNION ALL ".join(f"SELECT repo, sha, subject, path, line, {q(p.id)} AS pattern, {p.ord} AS ord, regexp_extract_all(text, {q(p.gap)}, 1) AS b, regexp_extract_all(text, {q(p.gap)}, 2) AS v FROM added WHERE regexp_matches(text, {q(p.regex)})" for p in patterns())
     out["git_scan"] = f"{git}, hits AS ({parts}) SELECT repo, sha, subject, path, line, (strlen(b[1]) + 1)::INT AS \"column\", pattern, md5(v[1]) AS digest FROM hits"
     out["per_commit_groups"] = f"{git}, hits AS ({parts}) SELECT repo, left(sha, 8) AS \"commit\", path, count(*) AS n, string_agg(pattern, ',' ORDER BY line, strlen(b[1]), ord) AS patterns FROM hits GROUP BY repo, sha, path"
+    out["verification_requests"] = _requests(F, place, host)
     # The rules as expressions written out by hand.
     out["ignored_paths"] = f"""WITH corpus AS ({CORPUS_SQL.format(orders='orders')}),
 rules(folder, kind, line, rule, regex, back, folders) AS (VALUES
@@ -247,3 +249,53 @@ def _around(call: str) -> list[str]:
 def _seed(text: str) -> list[str]:
     words = {"N": "env_var", "D": "replace(lower(env_var), '_', '-')", "P": "concat('<paste-', lower(env_var), '-value-here>')"}
     return [words.get(x, q(x)) for x in re.split(r"\b([NDP])\b", text) if x]
+
+
+def _padded(key: str, byte: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(0, 64), lambda i: format('{{:02x}}', xor(('0x' || substr({key}, 2 * i + 1, 2))::INT, {byte}))), ''))"
+
+
+def _signed(key: str, message: str) -> str:
+    """HMAC-SHA256 in hex; the key as 128 hex digits."""
+    return f"sha256({_padded(key, 0x5C)} || unhex(sha256({_padded(key, 0x36)} || encode({message}))))"
+
+
+def _requests(found: str, place: str, host: str) -> str:
+    """What each provider is asked, from the table of endpoints; a signature in steps."""
+    stamp, date = "20240102T030405Z", "20240102"
+    body = next(e[5] for e in ENDPOINTS if e[0] == "aws")
+    names = "concat('content-type;host;x-amz-date', CASE WHEN token IS NOT NULL THEN ';x-amz-security-token' ELSE '' END)"
+    lines = f"concat('content-type:application/x-www-form-urlencoded; charset=utf-8', chr(10), 'host:sts.amazonaws.com', chr(10), 'x-amz-date:{stamp}', chr(10), CASE WHEN token IS NOT NULL THEN concat('x-amz-security-token:', token, chr(10)) ELSE '' END)"
+    whole = f"concat('POST', chr(10), '/', chr(10), chr(10), {lines}, chr(10), {names}, chr(10), sha256({q(body)}))"
+    scope = f"{date}/us-east-1/sts/aws4_request"
+    shop = host.format(q(r"([a-zA-Z0-9][a-zA-Z0-9-]*\.myshopify\.com)"))
+    steps = [
+        f"paired AS (SELECT (SELECT arg_max(match, {place}) FROM f WHERE pattern = 'aws_secret_key') AS secret, (SELECT arg_max(match, {place}) FROM f WHERE pattern = 'aws_session_token') AS token, (SELECT arg_min(h, p) FROM (SELECT {shop} AS h, {place} AS p FROM f) WHERE h <> '') AS shop)",
+        "k0 AS (SELECT *, rpad(hex(encode('AWS4' || secret)), 128, '0') AS k FROM paired)",
+    ]
+    for n, part in enumerate((date, "us-east-1", "sts", "aws4_request")):
+        steps.append(f"k{n + 1} AS (SELECT * EXCLUDE k, rpad({_signed('k', q(part))}, 128, '0') AS k FROM k{n})")
+    to_sign = f"concat('AWS4-HMAC-SHA256', chr(10), '{stamp}', chr(10), '{scope}', chr(10), sha256({whole}))"
+    steps.append(f"signed AS (SELECT *, {names} AS names, {_signed('k', to_sign)} AS signature FROM k4)")
+    parts = []
+    for provider, method, url, sends, headers, text in ENDPOINTS:
+        handled = next(p[1] for p in PROVIDERS if p[0] == provider).split()
+        said = {k: q(v) for k, v in headers.items()}
+        missing = {"twilio": "'TWILIO_AUTH_TOKEN'", "shopify": "CASE WHEN shop IS NULL THEN 'SHOPIFY_DOMAIN' END", "databricks": "'DATABRICKS_HOST'", "aws": "CASE WHEN secret IS NULL THEN 'AWS_SECRET_ACCESS_KEY' END"}.get(provider, "NULL")
+        kind, _, rest = sends.partition(" ")
+        if kind == "bearer":
+            said["Authorization"] = "concat('Bearer ', match)"
+        elif kind == "header":
+            said[rest] = "match"
+        elif kind == "basic":
+            a, b = rest.split("M", 1)
+            said["Authorization"] = f"concat('Basic ', to_base64(encode(concat({q(a)}, match, {q(b)}))))"
+        else:
+            said |= {"x-amz-date": q(stamp), "authorization": f"concat('AWS4-HMAC-SHA256 Credential=', match, '/{scope}, SignedHeaders=', names, ', Signature=', signature)"}
+        shown = ", chr(10), ".join(f"'{k}=', {v}" for k, v in sorted(said.items()))
+        if kind == "signed":
+            shown += ", CASE WHEN token IS NOT NULL THEN concat(chr(10), 'x-amz-security-token=', token) ELSE '' END"
+        address = f"replace({q(url)}, '{{SHOPIFY_DOMAIN}}', coalesce(shop, ''))"
+        parts.append(f"SELECT {q(provider)} AS provider, pattern, md5(match) AS digest, {missing} AS lacks, {q(method)} AS method, {address} AS url, md5(concat({shown})) AS headers, {'NULL' if text is None else q(text)} AS body FROM (SELECT DISTINCT pattern, match FROM f), signed WHERE pattern IN ({', '.join(map(q, handled))})")
+    made = ", ".join(f"CASE WHEN lacks IS NULL THEN {c} END AS {c}" for c in ("method", "url", "headers", "body"))
+    return f"{found}, {', '.join(steps)}, asked AS ({' UNION ALL '.join(parts)}) SELECT provider, pattern, digest, {made}, lacks || ' not found near the value' AS missing FROM asked"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from ..functions import text as fn
 from ..functions.lists import PROVIDERS, SEEDS
 from ..functions.patterns import pattern_frame
 from ..operators import baseline as base
-from ..operators import catalog, report, rewrite, verify
+from ..operators import catalog, report, requests, rewrite, verify
 from ..operators.classify import apply_host_verdicts, classify, fixture_path
 from ..operators.scan import candidate_lines, pragmas, scan, scan_history
 from ..operators.scan import in_order as ordered
@@ -199,6 +201,14 @@ def paired(spark, sf_dir):
     return verify.paired_values(found(spark, sf_dir)).select("pattern", F.md5(F.col("match").cast("binary")).alias("digest"))
 
 
+def verification_requests(spark, sf_dir):
+    rows = kept(spark, sf_dir)
+    plan = requests.plan(rows, requests.pairs(rows), datetime.fromisoformat(NOW))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit("="), e.value))), "\n")
+    digest = lambda c: F.md5(c.cast("binary"))
+    return plan.select("provider", "pattern", digest(F.col("match")).alias("digest"), "method", "url", digest(headers).alias("headers"), "body", "missing")
+
+
 def merged(spark, sf_dir):
     rows = full(spark, sf_dir)
     return base.merge(old_baseline(rows), rows, NOW)
@@ -324,6 +334,7 @@ QUERIES = {
     "apply_host_verdicts": host_verdicts, "org_union": org_union, "stream_scan": stream_scan,
     "findings_in_order": in_order, "cache_keys": cache_keys, "only_verified": only_verified, "shown_confidence": shown_confidence,
     "catalog_counts": catalog_counts, "per_commit_groups": by_commit, "ignored_paths": ignored_paths,
+    "verification_requests": verification_requests,
 }
 
 ORACLES = oracles.build()
