@@ -34,6 +34,8 @@ SHARE, GROUPS, LEAF = 8, (64, 8_192), 16
 CROWD, HOT = 256, 200_000
 #: Sets of a block whose counts are joined in one task; rows of one task; shingles of a block or a task that verifies.
 BLOCK, BAG, WEIGHT = 2_048, 20_000, 500_000
+#: Rows of one long up to which a side of a join is broadcast: 16 MB of numbers.
+NUMBERS = 2_000_000
 
 
 def grouping(n: int) -> int:
@@ -238,13 +240,14 @@ def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         numbers = np.sort(np.array(hot, np.int64).view(np.uint64))
         more = _each_set(_representatives(documents, redealt), "fp long, keys array<long>", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), _lists(pa, [leading(s, numbers) for s in sets])])
         more = staged(more.select("fp", F.explode("keys").alias("key")).distinct(), "later-shingles")
-        shared = shared.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
-        met = keyed.join(bounded(shared.select("key")), "key").join(F.broadcast(late), "key", "left_anti").union(more.select("key", "fp"))
+        keys = shared.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
+        old = keyed.join(F.broadcast(late), "key", "left_anti").join(bounded(staged(keys, "keys"), NUMBERS), "key", "left_semi")
+        met = old.select("key", "fp").union(more.select("key", "fp"))
     else:
-        met = keyed.join(bounded(shared.select("key")), "key")
-    met = staged(met.select("key", "fp"), "met")
+        met = keyed.join(bounded(shared.select("key"), NUMBERS), "key", "left_semi").select("key", "fp")
+    met = staged(met, "met").repartition("key")
     pivots = met.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
-    return staged(met.join(bounded(pivots), "key").select("pivot", "fp").distinct(), "groups")
+    return staged(met.join(pivots, "key").select("pivot", "fp").distinct(), "groups")
 
 
 def _in_blocks(groups: DataFrame, weight, limit: int) -> DataFrame:
@@ -297,8 +300,13 @@ def linked(documents: DataFrame) -> DataFrame:
     ship_package(documents.sparkSession)
     marked = staged(marks(documents), "shingle-marks")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
-    some = marked.filter("n > 0")
-    distinct = some.groupBy("fp").agg(F.min(row).alias("best"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    some = marked.filter("n > 0").withColumn("best", row)
+    several = staged(some.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("best").alias("best")).filter("copies > 1"), "copies")
+    numbers = bounded(several.select("fp"), NUMBERS)
+    alone = some.join(numbers, "fp", "left_anti").select("fp", "best", F.col("doc_id").alias("low"), F.lit(1).cast("long").alias("copies"), "n", "keys", "counts")
+    # of copies the first row; rows alike in id and text are alike in all of these
+    same = some.join(bounded(several.withColumnRenamed("best", "first")), "fp").filter("best = first").dropDuplicates(["fp"])
+    distinct = alone.union(same.select("fp", "best", "low", "copies", "n", "keys", "counts"))
     distinct = staged(distinct, "distinct-sets")
     repeated = bool(marked.groupBy("doc_id", "sig").count().filter("count > 1").limit(1).count())
     roots = staged(connected_components(links(documents, distinct, repeated)), "roots")
