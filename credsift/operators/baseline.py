@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import redacted
+from ..sources import versions
 
 SCHEMA = "fingerprint string, kind string, key_preview string, status string, first_seen_at timestamp, last_verified_at timestamp, verification_attempts int, ever_verified boolean, first_path string, first_line int"
 
@@ -53,41 +52,29 @@ def diff_stats(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def history_events(findings: DataFrame, now: str) -> DataFrame:
-    """ts, event, fingerprint, path, line, extra: DETECTED for each finding, VERIFIED_LIVE for each that verified."""
-    base = findings.select(F.lit(now).cast("timestamp").alias("ts"), "fingerprint", "path", "line", "status", "provider")
+    """ts, event, fingerprint, commit (of findings in a history), path, line, extra: DETECTED for each finding, VERIFIED_LIVE for each that verified."""
+    commit = F.col("sha") if "sha" in findings.columns else F.lit(None).cast("string")
+    base = findings.select(F.lit(now).cast("timestamp").alias("ts"), "fingerprint", commit.alias("commit"), "path", "line", "status", "provider")
     kinds = F.when(F.col("status") == "verified", F.array(F.lit("DETECTED"), F.lit("VERIFIED_LIVE"))).otherwise(F.array(F.lit("DETECTED")))
     rows = base.withColumn("event", F.explode(kinds))
     extra = F.when(F.col("event") == "VERIFIED_LIVE", F.to_json(F.struct("provider", F.lit("live_api_call").alias("method"))))
-    return rows.select("ts", "event", "fingerprint", "path", "line", extra.alias("extra"))
-
-
-def _files(spark, path: str):
-    """The file system that holds ``path``, and ``path`` for it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    return rows.select("ts", "event", "fingerprint", "commit", "path", "line", extra.alias("extra"))
 
 
 def read_baseline(spark, path: str) -> DataFrame:
-    """A baseline as ``write_baseline`` leaves it, or a JSON file with ``entries`` by fingerprint."""
-    files, where = _files(spark, path)
-    if files.getFileStatus(where).isDirectory():
-        return spark.read.schema(SCHEMA).parquet(path)
+    """A baseline as ``write_baseline`` leaves it, pinned to its present version; or a JSON file with ``entries`` by fingerprint."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where) or files.getFileStatus(where).isDirectory():
+        return versions.get(spark, path, SCHEMA)
     value = SCHEMA.replace("fingerprint string, ", "")
     raw = spark.read.json(path, multiLine=True, schema="entries map<string, struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split() for x in value.split(", "))) + ">>")
     return raw.select(F.explode("entries").alias("fingerprint", "e")).select("fingerprint", "e.*")
 
 
-def write_baseline(baseline: DataFrame, path: str) -> None:
-    """Written beside ``path`` in full, then moved there: a run that fails leaves the old baseline as it was."""
-    spark = baseline.sparkSession
-    made = f"{path}.{uuid.uuid4().hex}"
-    baseline.orderBy("fingerprint").write.parquet(made)
-    files, where = _files(spark, path)
-    old = _files(spark, f"{made}.old")[1]
-    if files.exists(where):
-        files.rename(where, old)
-    files.rename(_files(spark, made)[1], where)
-    files.delete(old, True)
+def write_baseline(baseline: DataFrame, path: str, batch: int | None = None) -> bool:
+    """A new version of the baseline at ``path``, ordered by fingerprint; of a stream's batch only once."""
+    return versions.put(baseline.orderBy("fingerprint"), path, batch)
 
 
 def append_history(events: DataFrame, path: str) -> None:
@@ -96,4 +83,4 @@ def append_history(events: DataFrame, path: str) -> None:
 
 
 def read_history(spark, path: str) -> DataFrame:
-    return spark.read.schema("ts timestamp, event string, fingerprint string, path string, line int, extra string").json(path)
+    return spark.read.schema("ts timestamp, event string, fingerprint string, commit string, path string, line int, extra string").json(path)

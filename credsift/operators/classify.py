@@ -86,9 +86,9 @@ def classify(findings: DataFrame) -> DataFrame:
 
 def apply_host_verdicts(findings: DataFrame, answers: DataFrame) -> DataFrame:
     """Overwrite verdict, reason and confidence by position ``id`` from JSON answers (column ``json``); the last answer for an id counts."""
-    schema = "array<struct<id:long,verdict:string,reason:string,confidence:double>>"
-    rows = answers.select(F.posexplode(F.from_json("json", schema)).alias("pos", "a")).filter("a.id is not null")
-    last = rows.groupBy(F.col("a.id").alias("id")).agg(F.max_by("a", "pos").alias("a"))
+    schema = "array<struct<id:string,verdict:string,reason:string,confidence:double>>"
+    rows = answers.select(F.posexplode(F.from_json("json", schema)).alias("pos", "a")).withColumn("id", F.expr("try_cast(a.id as bigint)")).filter("id is not null")
+    last = rows.groupBy("id").agg(F.max_by("a", "pos").alias("a"))
     clean = F.lower(F.trim("a.verdict"))
     verdict = F.when(clean.isin("real", "fixture"), clean).otherwise("unknown")
     out = findings.join(last, "id", "left")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.patterns import HINT, Pattern, patterns
 from ..sources.corpus import TAG
 from ..sources.files import MAX_LINE_BYTES, with_lines
 from ..sources.git_patch import at_lines, hunks
+from ..sources.store import written_sealed
 
 CONTEXT_LINES = 3
 FINDING = ["path", "line", "column", "match", "pattern", "pattern_ord", "severity", "context"]
@@ -104,6 +106,22 @@ def in_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.split("path", "/"), "line", "column", "pattern_ord")
 
 
+def numbered(findings: DataFrame, name: str = "id") -> DataFrame:
+    """``findings`` with their place (from 0, without gaps) in the order of ``in_order``.
+
+    Rows are sorted by range; what precedes a partition is a sum over the partitions' counts, so no task sees all rows.
+    """
+    keys = [F.split("path", "/"), F.col("line"), F.col("column"), F.col("pattern_ord")]
+    ranged = findings.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())  # partition, then place in it
+    ranged = written_sealed(ranged, "ranged")
+    part = F.shiftright(F.col(name), 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row for each partition
+    starts = counts.select("_part", before.alias("_start"))
+    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_start") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).select(*ranged.columns)
+
+
 def scan_history(commits: DataFrame, context: int = CONTEXT_LINES, rows: tuple[Pattern, ...] | None = None) -> DataFrame:
     """Findings in lines that commits (repo, seq, patch) add, of any length; suppression comments don't count there."""
     rows = rows or patterns()

@@ -167,7 +167,7 @@ SELECT mode, code::INT AS code FROM (SELECT unnest(['none', 'any', 'real', 'veri
     out["baseline_new"] = f"{OLD} SELECT path, line::INT AS line, \"column\", pattern, fingerprint FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM old)"
     out["baseline_present"] = f"{OLD} SELECT fingerprint, status, ever_verified FROM old WHERE fingerprint IN (SELECT fingerprint FROM a)"
     out["baseline_stats"] = f"{OLD}, here AS (SELECT * FROM old WHERE fingerprint IN (SELECT fingerprint FROM a)) SELECT (SELECT count(*) FROM a) AS findings, (SELECT count(*) FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM old)) AS new, (SELECT count(*) FROM here) AS present, (SELECT count(*) FROM here WHERE ever_verified) AS ever_verified, (SELECT count(*) FROM here WHERE status = 'rotated') AS rotated"
-    out["history_events"] = f"""{A} SELECT TIMESTAMP '{NOW}' AS ts, event, fingerprint, path, line::INT AS line, CASE WHEN event = 'VERIFIED_LIVE' THEN concat('{{"provider":"', provider, '","method":"live_api_call"}}') END AS extra
+    out["history_events"] = f"""{A} SELECT TIMESTAMP '{NOW}' AS ts, event, fingerprint, NULL::VARCHAR AS "commit", path, line::INT AS line, CASE WHEN event = 'VERIFIED_LIVE' THEN concat('{{"provider":"', provider, '","method":"live_api_call"}}') END AS extra
 FROM (SELECT *, unnest(CASE WHEN status = 'verified' THEN ['DETECTED', 'VERIFIED_LIVE'] ELSE ['DETECTED'] END) AS event FROM a)"""
     take = "nullif(regexp_extract({0}, {1}, 1), '')"
     name = f"""regexp_replace(regexp_replace(upper(coalesce({take.format('source', q(r'\b([A-Z][A-Z0-9_]+)\s*[:=]'))}, {take.format('source', q(r'\b([a-z_][a-z0-9_]*)\s*[:=]'))},
@@ -185,15 +185,16 @@ p AS (SELECT *, CASE {put("concat('''', match, '''')")} {put("concat('\"', match
     out["env_example_entries"] = f"{propose} SELECT DISTINCT concat(env_var, '=') AS env_example_line FROM p WHERE new_line <> source AND NOT contains('PASSWD=' || chr(10), env_var)"
     out["seed_commands"] = f"{propose} SELECT DISTINCT env_var, {', '.join(f'{x} AS {b}' for b, x in seed.items())} FROM p WHERE new_line <> source"
     out["sarif_results"] = f"{A} SELECT pattern AS rule_id, CASE WHEN verdict = 'fixture' THEN 'note' WHEN verdict = 'unknown' THEN 'warning' WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, concat(pattern, ': ', {REDACTED.format('match')}, ' (', verdict, ')') AS message, path AS uri, line::INT AS start_line, \"column\" AS start_column FROM a"
-    out["prompt_candidates"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, severity, {REDACTED.format('match')} AS match_redacted, array_to_string(list_transform(context, lambda x: replace(x, match, {REDACTED.format('match')})), chr(10)) AS context FROM f"
-    out["findings_in_order"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, row_number() OVER (PARTITION BY path ORDER BY line, \"column\", pattern_ord)::INT AS nth FROM f"
+    place_of = "row_number() OVER (ORDER BY string_split(path, '/'), line, \"column\", pattern_ord) - 1"
+    out["prompt_candidates"] = f"{F} SELECT ({place_of})::VARCHAR AS id, path, line::INT AS line, \"column\", pattern, severity, {REDACTED.format('match')} AS match_redacted, array_to_string(list_transform(context, lambda x: replace(x, match, {REDACTED.format('match')})), chr(10)) AS context FROM f"
+    out["findings_in_order"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, {place_of} AS nth FROM f"
     out["cache_keys"] = f"{F} SELECT path, line::INT AS line, \"column\", pattern, sha256(concat(pattern, chr(0), {REDACTED.format('match')}, chr(0), array_to_string(list_transform(context, lambda x: concat(x, chr(10))), ''))) AS cache_key FROM f"
     out["only_verified"] = f"{A} SELECT path, line::INT AS line, \"column\", pattern, provider FROM a WHERE status = 'verified'"
     out["shown_confidence"] = f"{A} SELECT pattern, verdict, round(confidence * 100)::INT AS percent, count(*) AS n FROM a GROUP BY ALL"
     out["catalog_counts"] = f"WITH {CATALOG} SELECT strategy, verdict, count(*) AS n, count(DISTINCT kind) AS n_kinds FROM entries GROUP BY ALL"
-    answered = "CASE id WHEN 1 THEN {} WHEN 2 THEN {} ELSE {} END"
-    out["apply_host_verdicts"] = f"""{A}, numbered_ AS (SELECT *, (line * 31 + "column") % 1000 AS id FROM a) SELECT path, line::INT AS line, "column", pattern, {answered.format("'fixture'", "'unknown'", 'verdict')} AS verdict,
-  {answered.format("'later'", 'NULL', 'reason')} AS reason, {answered.format('0.75', 'NULL', 'confidence')}::DOUBLE AS confidence FROM numbered_"""
+    answered = "CASE id WHEN 1 THEN {} WHEN 2 THEN {} WHEN 7 THEN {} ELSE {} END"
+    out["apply_host_verdicts"] = f"""{A}, numbered_ AS (SELECT *, {place_of} AS id FROM a) SELECT id, path, line::INT AS line, "column", pattern, {answered.format("'fixture'", "'unknown'", "'real'", 'verdict')} AS verdict,
+  {answered.format("'later'", 'NULL', 'NULL', 'reason')} AS reason, {answered.format('0.75', 'NULL', 'NULL', 'confidence')}::DOUBLE AS confidence FROM numbered_"""
     out["org_union"] = f"{A} SELECT repo, pattern, count(*) AS n, count(DISTINCT concat(repo, '/', path)) AS n_files FROM a, (SELECT unnest(['acme/one', 'acme/two']) AS repo) GROUP BY ALL"
     git = f"""WITH patch AS ({PATCH_SQL.format(orders='orders')}), commits AS (SELECT repo, unnest(string_split(text, chr(1))) AS patch FROM patch),
 split AS (SELECT repo, row_number() OVER () AS seq, regexp_extract(patch, '^([^\\x1f\\n]*)', 1) AS sha, regexp_extract(patch, '^[^\\x1f\\n]*\\x1f([^\\n]*)', 1) AS subject, string_split(patch, chr(10)) AS raws FROM commits WHERE patch <> ''),

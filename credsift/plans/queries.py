@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..functions.lists import PROVIDERS, SEEDS
@@ -14,13 +14,12 @@ from ..functions.patterns import pattern_frame
 from ..operators import baseline as base
 from ..operators import catalog, report, requests, rewrite, verify
 from ..operators.classify import apply_host_verdicts, classify, fixture_path
-from ..operators.scan import candidate_lines, pragmas, scan, scan_history
-from ..operators.scan import in_order as ordered
+from ..operators.scan import candidate_lines, numbered, pragmas, scan, scan_history
 from ..sources.corpus import corpus, documents_as_files, ignore_files
 from ..sources.files import MAX_LINE_BYTES, doc_lines, scannable
 from ..sources.git_patch import added_lines, split_commits
 from ..sources.ignore_rules import decided, rule_lines
-from ..sources.store import spread, written
+from ..sources.store import spread, written_sealed
 from . import oracles
 
 SALT = b"credsift-query-salt-0123456789ab"
@@ -38,7 +37,7 @@ def found(spark, sf_dir) -> DataFrame:
 
 def kept(spark, sf_dir) -> DataFrame:
     """The findings, written once: files are read and matched a single time, whatever is built on the few rows that come out."""
-    return written(found(spark, sf_dir), "findings")
+    return written_sealed(found(spark, sf_dir), "findings")
 
 
 def responses(findings: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def judged(rows: DataFrame) -> DataFrame:
 def full(spark, sf_dir) -> DataFrame:
     """Findings with fingerprint, outcome, catalogue entry and verdict, written once."""
     rows = catalog.lookup(judged(kept(spark, sf_dir)), catalog.catalog_frame(spark))
-    return written(classify(rows.withColumn("fingerprint", fn.fingerprint(F.col("match"), SALT))), "judged")
+    return written_sealed(classify(rows.withColumn("fingerprint", fn.fingerprint(F.col("match"), SALT))), "judged")
 
 
 def old_baseline(rows: DataFrame) -> DataFrame:
@@ -273,19 +272,18 @@ def sarif(spark, sf_dir):
 
 
 def prompts(spark, sf_dir):
-    return report.prompt_candidates(found(spark, sf_dir))
+    return report.prompt_candidates(numbered(found(spark, sf_dir)))
 
 
 def host_verdicts(spark, sf_dir):
-    rows = full(spark, sf_dir).select(((F.col("line") * 31 + F.col("column")) % 1000).alias("id"), "path", "line", "column", "pattern", "verdict", "reason", "confidence")
-    answers = spark.createDataFrame([('[{"id":1,"verdict":" Real ","reason":"said so","confidence":0.5},{"id":2,"verdict":"odd"},{"id":1,"verdict":"fixture","reason":"later","confidence":0.75}]',)], "json string")
-    return apply_host_verdicts(rows, answers).select("path", "line", "column", "pattern", "verdict", "reason", "confidence")
+    rows = numbered(full(spark, sf_dir)).select("id", "path", "line", "column", "pattern", "verdict", "reason", "confidence")
+    said = [{"id": "1", "verdict": " Real ", "reason": "said so", "confidence": 0.5}, {"id": "2", "verdict": "odd"}, {"id": "1", "verdict": "fixture", "reason": "later", "confidence": 0.75}, {"id": "7", "verdict": "real"}, {"id": "x", "verdict": "real"}, {"id": "-1", "verdict": "real"}]
+    answers = spark.createDataFrame([(json.dumps(said),)], "json string")
+    return apply_host_verdicts(rows, answers)
 
 
 def in_order(spark, sf_dir):
-    rows = ordered(found(spark, sf_dir))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("line", "column", "pattern_ord"))
-    return rows.select("path", "line", "column", "pattern", nth.alias("nth"))
+    return numbered(found(spark, sf_dir), "nth").select("path", "line", "column", "pattern", "nth")
 
 
 def cache_keys(spark, sf_dir):

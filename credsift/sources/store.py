@@ -1,14 +1,22 @@
-"""Results kept between steps: Parquet in the folder that driver and executors share."""
+"""Results kept between steps: Parquet in the folder that driver and executors share.
+
+Findings are written with their raw values encrypted (AES-GCM) under a key that lives as long as the Spark context.
+"""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: Columns of findings that hold raw values.
+SECRET = ("match", "context")
 #: A table below so many bytes for each core has fewer input splits than cores.
 SPLIT_BYTES = 128 << 20
 
@@ -29,9 +37,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: whatever is built on it doesn't compute it again, and a lost executor costs no more than a read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    sc._credsift_written = [*getattr(sc, "_credsift_written", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The key of this run, which nothing stores."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_credsift_key"):
+        sc._credsift_key = os.urandom(32)
+    return sc._credsift_key
+
+
+def sealed(df: DataFrame, columns=SECRET) -> DataFrame:
+    """``df`` with the columns that hold raw values encrypted under the run's key."""
+    key = F.lit(bytearray(_key(df.sparkSession)))
+    some = [f for f in df.schema if f.name in columns]
+    return df.withColumns({f.name: F.aes_encrypt(F.to_json(F.struct(f.name)), key) for f in some})
+
+
+def unsealed(df: DataFrame, schema: StructType) -> DataFrame:
+    """What ``sealed`` made of a frame of ``schema``, readable again."""
+    key = F.lit(bytearray(_key(df.sparkSession)))
+    some = [f for f in schema if f.name in SECRET]
+    plain = {f.name: F.from_json(F.aes_decrypt(f.name, key).cast("string"), StructType([f]))[f.name] for f in some}
+    return df.withColumns(plain).select(*schema.names)
+
+
+def written_sealed(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for findings: no raw value reaches a file."""
+    return unsealed(written(sealed(df), name), df.schema)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that ``written`` has left in this session."""
+    made = getattr(spark.sparkContext, "_credsift_written", [])
+    jvm = spark.sparkContext._jvm
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table just read, its rows dealt over all cores where its files are fewer than these.
 

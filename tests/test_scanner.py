@@ -278,21 +278,6 @@ def test_exit_codes(spark):
     assert got == {"none": 0, "any": 1, "real": 1, "verified": 0, "best_effort": 1, "only_verified": 0, "ever_verified": 0}
 
 
-def test_baseline_round_trip_and_history(spark, tmp_path):
-    from credsift.operators import baseline as base
-
-    rows = spark.createDataFrame([("f1", "jwt", "eyJ***", "active", None, None, 1, True, "a.py", 3), ("f2", None, None, None, None, None, None, None, None, None)], base.SCHEMA)
-    where = str(tmp_path / "baseline")
-    for some in (rows.limit(1), rows):  # the second replaces the first
-        base.write_baseline(some, where)
-    assert sorted(map(tuple, base.read_baseline(spark, where).collect())) == sorted(map(tuple, rows.collect()))
-    assert [p.name for p in tmp_path.iterdir()] == ["baseline"]
-    events = spark.createDataFrame([("2024-01-01 00:00:00", "DETECTED", "f1", "a.py", 3, None)], "ts string, event string, fingerprint string, path string, line int, extra string").selectExpr("cast(ts as timestamp) ts", "event", "fingerprint", "path", "line", "extra")
-    for _ in range(2):
-        base.append_history(events, str(tmp_path / "history"))
-    assert base.read_history(spark, str(tmp_path / "history")).collect() == events.collect() * 2
-
-
 def test_sarif_documents_are_whole(spark):
     import json
 
