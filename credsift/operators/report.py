@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import patterns
 from ..functions.text import redacted
+from .scan import numbered
 
 VIEW = ["path", "line", "column", "match_redacted", "pattern", "severity", "verdict", "reason", "confidence", "status", "provider", "fingerprint"]
 
@@ -35,6 +37,58 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     findings.sparkSession.createDataFrame(rules, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rules")
 
 
+def _document(lines: DataFrame, head: str, tail: str, path: str) -> None:
+    """One file at ``path``: ``head``, the rows of ``lines`` (id, value) in order with commas between them, and ``tail``.
+
+    Executors write the rows in ordered parts beside ``path``; the file system joins the parts, or they are copied through in
+    pieces where it can't. No row passes through Python on the driver.
+    """
+    spark = lines.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    comma = F.when(F.col("id") > 0, F.lit(",")).otherwise(F.lit(""))
+    lines.repartitionByRange("id").sortWithinPartitions("id").select(F.concat(comma, "value").alias("value")).write.text(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/document")
+    out = files.create(draft)
+    out.write(bytearray(head.encode()))
+    for part in parts:
+        source = files.open(part)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.write(bytearray(tail.encode()))
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files.delete(target, False)
+    files.rename(draft, target)
+    files.delete(where, True)
+
+
+def write_json(findings: DataFrame, path: str, show_fixtures: bool = True) -> None:
+    """One JSON array of the redacted view, in order."""
+    rows = numbered(findings if show_fixtures else findings.filter("verdict <> 'fixture'"))
+    view = [c for c in VIEW if c == "match_redacted" or c in rows.columns]
+    shown = rows.withColumn("match_redacted", redacted(F.col("match")))
+    _document(shown.select("id", F.to_json(F.struct(*view), {"ignoreNullFields": "false"}).alias("value")), "[\n", "]\n", path)
+
+
+def write_sarif_document(findings: DataFrame, path: str, show_fixtures: bool = True) -> None:
+    """One SARIF 2.1.0 document of a run, with all rules; findings in order, with their commits if they come from a history."""
+    rows = numbered(findings if show_fixtures else findings.filter("verdict <> 'fixture'"))
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    text = F.concat("pattern", F.lit(": "), redacted(F.col("match")), F.lit(" ("), "verdict", F.lit(")"))
+    more = F.struct("verdict", have("confidence").cast("double").alias("confidence"), F.coalesce(have("status") == "verified", F.lit(False)).alias("verified"), have("provider").alias("provider"), have("fingerprint").alias("fingerprint"), have("sha").alias("git_commit"), have("subject").alias("git_commit_subject"))
+    result = F.struct(F.col("pattern").alias("ruleId"), sarif_level(F.col("severity"), F.col("verdict")).alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"), more.alias("properties"))
+    level = lambda s: {"critical": "error", "high": "error", "medium": "warning"}.get(s, "note")
+    rules = [{"id": p.id, "name": p.id, "defaultConfiguration": {"level": level(p.severity)}} for p in patterns()]
+    head = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "credsift", "rules": rules}}, "results": []}]})
+    _document(rows.select("id", F.to_json(result, {"ignoreNullFields": "false"}).alias("value")), head[: -len("]}]}")] + "\n", "]}]}\n", path)
+
+
 def only_verified(findings: DataFrame) -> DataFrame:
     """What a run that shows verified findings only shows; its exit code still comes from all of them."""
     return findings.filter("status = 'verified'")
