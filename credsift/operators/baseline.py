@@ -51,6 +51,13 @@ def diff_stats(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("findings"), F.count_if(F.col("known").isNull()).alias("new")).crossJoin(here)  # one row each
 
 
+def mark_ignored(baseline: DataFrame, fingerprint: str) -> DataFrame:
+    """``baseline`` with one entry marked as ignored; an error if it isn't there."""
+    if not baseline.filter(F.col("fingerprint") == fingerprint).limit(1).count():
+        raise KeyError(f"no entry of the baseline has the fingerprint {fingerprint}")
+    return baseline.withColumn("status", F.when(F.col("fingerprint") == fingerprint, "ignored").otherwise(F.col("status")))
+
+
 def history_events(findings: DataFrame, now: str) -> DataFrame:
     """ts, event, fingerprint, commit (of findings in a history), path, line, extra: DETECTED for each finding, VERIFIED_LIVE for each that verified."""
     commit = F.col("sha") if "sha" in findings.columns else F.lit(None).cast("string")

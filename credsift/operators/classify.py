@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import APP_PATHS, CONFIDENCE, DUMMY_MARKERS, ENV_REFERENCES, FIXTURE_PATHS, PLACEHOLDERS, REFERENCE_KEYS
-from ..functions.text import severity_rank
+from ..functions.text import parse_verdict, severity_rank
 
 
 def _any(words: list[str]) -> str:
@@ -95,3 +95,18 @@ def apply_host_verdicts(findings: DataFrame, answers: DataFrame) -> DataFrame:
     for name, value in (("verdict", verdict), ("reason", F.col("a.reason")), ("confidence", F.col("a.confidence"))):
         out = out.withColumn(name, F.when(F.col("a").isNotNull(), value).otherwise(F.col(name)))
     return out.drop("a")
+
+
+HYDRATED = "path string, line int, column int, match string, match_redacted string, pattern string, severity string, context array<string>, verdict string, reason string, confidence double"
+
+
+def hydrated(candidates: DataFrame) -> DataFrame:
+    """Findings from JSON (column ``json``) that a host gives back, with defaults for what is missing; the redacted value stands in for the value."""
+    given = candidates.select(F.from_json("json", HYDRATED).alias("c")).select("c.*")
+    known = F.when(F.col("severity").isin("critical", "high", "medium", "low"), F.col("severity")).otherwise("unknown")
+    clean = F.filter(F.coalesce("context", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    at = lambda c: F.when(F.col(c) >= 0, F.col(c)).otherwise(1)
+    return given.select(
+        F.coalesce("path", F.lit("")).alias("path"), at("line").alias("line"), at("column").alias("column"), F.coalesce("match", "match_redacted", F.lit("")).alias("match"),
+        F.coalesce("pattern", F.lit("unknown")).alias("pattern"), known.alias("severity"), clean.alias("context"), parse_verdict(F.coalesce("verdict", F.lit("unknown"))).alias("verdict"), "reason", "confidence",
+    )

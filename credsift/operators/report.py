@@ -37,15 +37,15 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     findings.sparkSession.createDataFrame(rules, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rules")
 
 
-def _document(lines: DataFrame, head: str, tail: str, path: str) -> None:
-    """One file at ``path``: ``head``, the rows of ``lines`` (id, value) in order with commas between them, and ``tail``.
+def write_document(lines: DataFrame, head: str, tail: str, path: str, between: str = ",") -> None:
+    """One file at ``path``: ``head``, the rows of ``lines`` (id, value) in order with ``between`` before all but the first, and ``tail``.
 
     Executors write the rows in ordered parts beside ``path``; the file system joins the parts, or they are copied through in
     pieces where it can't. No row passes through Python on the driver.
     """
     spark = lines.sparkSession
     folder = f"{path}.{uuid.uuid4().hex}"
-    comma = F.when(F.col("id") > 0, F.lit(",")).otherwise(F.lit(""))
+    comma = F.when(F.col("id") > 0, F.lit(between)).otherwise(F.lit(""))
     lines.repartitionByRange("id").sortWithinPartitions("id").select(F.concat(comma, "value").alias("value")).write.text(folder)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(folder)
@@ -71,7 +71,7 @@ def write_json(findings: DataFrame, path: str, show_fixtures: bool = True) -> No
     rows = numbered(findings if show_fixtures else findings.filter("verdict <> 'fixture'"))
     view = [c for c in VIEW if c == "match_redacted" or c in rows.columns]
     shown = rows.withColumn("match_redacted", redacted(F.col("match")))
-    _document(shown.select("id", F.to_json(F.struct(*view), {"ignoreNullFields": "false"}).alias("value")), "[\n", "]\n", path)
+    write_document(shown.select("id", F.to_json(F.struct(*view), {"ignoreNullFields": "false"}).alias("value")), "[\n", "]\n", path)
 
 
 def write_sarif_document(findings: DataFrame, path: str, show_fixtures: bool = True) -> None:
@@ -86,7 +86,7 @@ def write_sarif_document(findings: DataFrame, path: str, show_fixtures: bool = T
     level = lambda s: {"critical": "error", "high": "error", "medium": "warning"}.get(s, "note")
     rules = [{"id": p.id, "name": p.id, "defaultConfiguration": {"level": level(p.severity)}} for p in patterns()]
     head = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "credsift", "rules": rules}}, "results": []}]})
-    _document(rows.select("id", F.to_json(result, {"ignoreNullFields": "false"}).alias("value")), head[: -len("]}]}")] + "\n", "]}]}\n", path)
+    write_document(rows.select("id", F.to_json(result, {"ignoreNullFields": "false"}).alias("value")), head[: -len("]}]}")] + "\n", "]}]}\n", path)
 
 
 def only_verified(findings: DataFrame) -> DataFrame:

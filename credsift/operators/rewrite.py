@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import env_call, env_name, language, redacted, replace_first, seed_commands
-from ..sources.files import with_lines
+from ..sources.files import read_file, with_lines
+from .report import write_document
 
+HEADING = "# Added by credsift:"
 
-def propose(findings: DataFrame, include_unknown: bool = True, backend: str = "env") -> DataFrame:
-    """path, line, column, pattern, env_var, language, old_line (redacted), new_line, env_example_line, seed_command."""
+
+def propose(findings: DataFrame, include_unknown: bool = True, backend: str = "env", force: bool = False) -> DataFrame:
+    """Proposals for real findings, unknown ones too unless left out, and with ``force`` for all: path, line, column, pattern, env_var, language, old_line (redacted), new_line, env_example_line, seed_command."""
     wanted = ["real", "unknown"] if include_unknown else ["real"]
-    rows = findings.filter(F.col("verdict").isin(wanted)).withColumn("language", language(F.col("path")))
+    rows = findings.filter(F.lit(force) | F.col("verdict").isin(wanted)).withColumn("language", language(F.col("path")))
     rows = rows.withColumn("source", F.get(F.filter("context", lambda x: F.contains(x, F.col("match"))), F.lit(0)))
     rows = rows.filter(F.col("source").isNotNull()).withColumn("env_var", env_name(F.col("source"), F.col("pattern")))
     rows = rows.withColumn("call", env_call(F.col("language"), F.col("env_var"))).filter("call is not null")
@@ -28,6 +32,19 @@ def env_example(proposals: DataFrame, existing: str = "") -> DataFrame:
     return proposals.filter(~F.contains(F.lit(existing), F.col("env_var"))).select("env_example_line").distinct().orderBy("env_example_line")
 
 
+def write_env_example(proposals: DataFrame, path: str) -> None:
+    """Adds what ``env_example`` gives to the file at ``path`` under a heading; a file that isn't there is made, and none where nothing is proposed."""
+    spark = proposals.sparkSession
+    existing = read_file(spark, path).select("text").collect()  # one file, read for the names in it
+    before = existing[0].text if existing else ""
+    if not proposals.limit(1).count():
+        return
+    lines = env_example(proposals, before)
+    place = F.row_number().over(Window.orderBy("env_example_line")) - 1  # names of variables, as few as an example file has
+    head = before + ("\n" if before and not before.endswith("\n") else "") + HEADING + "\n"
+    write_document(lines.select(place.alias("id"), F.col("env_example_line").alias("value")), head, "", path, between="")
+
+
 def apply_rewrites(files: DataFrame, findings: DataFrame, backend: str = "env") -> DataFrame:
     """path, text: files with each finding's own line replaced where it still holds the value."""
     rows = findings.filter(F.col("verdict").isin("real", "unknown")).withColumn("language", language(F.col("path")))

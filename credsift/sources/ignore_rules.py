@@ -137,3 +137,10 @@ def decided(paths: DataFrame, rules: DataFrame) -> DataFrame:
 def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The rows of ``files`` (path, ...) that no rule leaves out."""
     return files.join(decided(files, rules).filter("ignored").select("path"), "path", "left_anti")
+
+
+def with_entry(text: str, entry: str) -> str:
+    """The text of an ignore file with ``entry`` as a line of its own; as it is if it has it."""
+    if any(line.strip() == entry for line in text.splitlines()):
+        return text
+    return text + ("\n" if text and not text.endswith("\n") else "") + entry + "\n"
