@@ -14,6 +14,9 @@ The items are broadcast in parts of at most ``PART_BYTES``; a larger benchmark t
 Items of fewer than ``MIN_WORDS`` words are too short for edits to mean anything: they leak where all of their words stand in
 a text in their order, next to each other.
 
+Words are runs of letters, digits and any character beyond ASCII; a character of Chinese, Japanese, Thai, Lao, Khmer or Burmese is a
+word by itself, as these scripts put no spaces between words.
+
 Edge cases: null texts have no words; items without a word (or null) leak nowhere; repeated items and repeated rows each give their own rows; very long texts are searched whole; an
 empty table of either kind gives an empty result (and ``decontaminate`` then keeps all); other columns are ignored, or kept
 by ``decontaminate``.
@@ -52,6 +55,14 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends[:-1] &= ~inside[1:]
     last = offsets[1:][np.diff(offsets) > 0] - 1
     ends[last] = inside[last]
+    # characters of scripts without spaces are words by themselves
+    alone = (buf >= 0xE3) & (buf <= 0xE9)
+    alone[:-1] |= ((buf[:-1] == 0xE0) & (buf[1:] >= 0xB8) & (buf[1:] <= 0xBB)) | ((buf[:-1] == 0xE1) & (((buf[1:] >= 0x80) & (buf[1:] <= 0x82)) | ((buf[1:] >= 0x9E) & (buf[1:] <= 0x9F))))
+    at = np.flatnonzero(alone)
+    starts[at] = ends[np.minimum(at + 2, len(buf) - 1)] = True
+    before, after = at[at > 0] - 1, at[at + 3 < len(buf)] + 3
+    ends[before] |= inside[before]
+    starts[after] |= inside[after]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return range_hashes(buf, a, b), np.searchsorted(a, offsets)
 

@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -230,8 +231,8 @@ def maximal_repeats(lefts: list[bytes], left: np.ndarray, lsize: np.ndarray, rig
     return found
 
 
-def _compare(batches):
-    """From contexts sorted by (h, right): spans of repeats; contexts of crowded anchors are handed on."""
+def _compare(batches, limit: int):
+    """From contexts sorted by (h, right): spans of repeats; contexts of anchors with more than ``limit`` are handed on."""
     import pyarrow as pa
 
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -287,13 +288,13 @@ def _compare(batches):
             wh = whole.column("h").to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(wh[1:] != wh[:-1]) + 1])
             size = np.repeat(np.diff(np.append(starts, len(wh))), np.diff(np.append(starts, len(wh))))
-            many = size > CROWD
+            many = size > limit
             if many.any():
                 yield crowd(whole.filter(pa.array(many)))
                 whole = whole.filter(pa.array(~many)).combine_chunks()
             if whole.num_rows and (out := work(whole)) is not None:
                 yield out
-        if held.num_rows > CROWD:
+        if held.num_rows > limit:
             crowded = held.column("h")[0].as_py()
             yield crowd(held)
             held = None
@@ -309,7 +310,7 @@ def _cut(batches):
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for doc_id, packed, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "packed", "spans"))):
+        for doc_id, none, packed, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "none", "packed", "spans"))):
             text = unpack.decompress(packed)
             runs: list[list[int]] = []
             for s in sorted((x["start"], x["end"]) for x in spans or ()):
@@ -322,7 +323,7 @@ def _cut(batches):
                 kept.append(text[at:a])
                 at = b
             rest = b"".join([*kept, text[at:]])
-            for k, v in zip(out, (doc_id, len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest)):
+            for k, v in zip(out, (None if none else doc_id, len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest)):
                 out[k].append(v)
         out["doc_id"] = pa.array(out["doc_id"], pa.int64())
         out["kept"] = pa.array(out["kept"], pa.binary())
@@ -330,19 +331,20 @@ def _cut(batches):
 
 
 def _pack(batches):
-    """Texts compressed one by one, for the shuffles."""
+    """Texts compressed one by one, for the shuffles; other columns are passed on."""
     import pyarrow as pa
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array([press.compress((t or "").encode()) for t in texts], pa.binary())], names=["doc_id", "sig", "packed"])
+        others = [n for n in batch.schema.names if n != "text"]
+        texts = pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), texts], names=[*others, "packed"])
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """doc_id (the least long for null), sig (a hash of the text), text (empty for null)."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("sig"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _keyed(documents: DataFrame, *more) -> DataFrame:
+    """doc_id (the least long for null), sig (a hash of the text), more, text (empty for null)."""
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("sig"), *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def repeat_spans(documents: DataFrame) -> DataFrame:
@@ -353,7 +355,7 @@ def repeat_spans(documents: DataFrame) -> DataFrame:
     by_anchor = found.filter("h is not null").repartition("h").sortWithinPartitions("h", "c")
     sorted_out = staged(by_anchor.mapInArrow(_sort_out, f"h long, {KEY}, start long, end long, need boolean"), "anchors-sorted")
 
-    wanted = sorted_out.filter("need").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "h")).alias("wanted"))
+    wanted = sorted_out.filter("need").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "h")).alias("wanted"))
     packed = long.mapInArrow(_pack, f"{KEY}, packed binary")
     contexts = packed.join(wanted, ["doc_id", "sig"]).mapInArrow(_fetch, f"h long, {KEY}, pos long, left binary, right binary")
     compared = staged(_compared(contexts.withColumn("range", F.lit(SIDE).cast("long"))), "repeats")
@@ -381,7 +383,7 @@ def repeat_spans(documents: DataFrame) -> DataFrame:
 
 def _compared(contexts: DataFrame) -> DataFrame:
     """Spans of the repeats among contexts (h, key, pos, range, left, right), and contexts of groups that are too large (h not null)."""
-    return contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(_compare, f"h long, {KEY}, start long, end long, left binary, right binary")
+    return contexts.repartition("h").sortWithinPartitions("h", "right").mapInArrow(partial(_compare, limit=CROWD), f"h long, {KEY}, start long, end long, left binary, right binary")
 
 
 def _halved(crowd: DataFrame) -> DataFrame:
@@ -400,8 +402,8 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     spark = documents.sparkSession
     spans = repeat_spans(documents)
     bounded_batches(spark)
-    packed = _keyed(documents).mapInArrow(_pack, f"{KEY}, packed binary")
-    runs = spans.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    own = F.col("doc_id").isNull().alias("none")
+    packed = _keyed(documents, own).mapInArrow(_pack, f"{KEY}, none boolean, packed binary")
+    runs = spans.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     out = packed.join(runs, ["doc_id", "sig"], "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return out if with_text else out.drop("kept")

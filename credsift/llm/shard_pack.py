@@ -1,9 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly, equal texts kept together.
 
-Equal texts form a group; its vector is (bytes, tokens, rows). Groups are placed one by one as long as there are at most
-``CELLS`` of them. Beyond that, those larger than 1 / ``SMALL`` of a shard in any dimension still are (there can't be more than
-3 * ``SMALL`` * shards), and the small ones are gathered by hash into ``CELLS`` cells, so what the driver packs is bounded
-whatever the table's size. A group larger than a whole shard is split into chunks, row by row. Items are placed largest first, each into the shard where the dot product
+Equal texts form a group; its vector is (bytes, tokens, rows). Groups larger than 1 / ``SMALL`` of a shard in any dimension are
+placed one by one (there can't be more than 3 * ``SMALL`` * shards), and the smaller ones are gathered by hash into ``CELLS``
+cells, at every size of the table; so what the driver packs is bounded. A group larger than a whole shard is split into chunks, row by row. Items are placed largest first, each into the shard where the dot product
 of its vector with the residual capacity is highest among the shards that still have room for it; where none has, into
 the one with most room in bytes. The law that holds is ``bytes``: sizes near equal.
 
@@ -66,8 +65,7 @@ def assign_shards(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS
     total = slim.agg(*sums).first()
     cap = [max(1, (total[k] or 0)) / shards for k in ("b", "t", "n")]
     share = F.greatest(*(F.col(k) / F.lit(c) for k, c in zip(("b", "t", "n"), cap)))
-    least = 0.0 if groups.limit(cells + 1).count() <= cells else 1 / SMALL
-    own = groups.withColumn("share", share).filter(F.col("share") > least).select("grp", "share").orderBy("grp").collect()
+    own = groups.withColumn("share", share).filter(F.col("share") > 1 / SMALL).select("grp", "share").orderBy("grp").collect()
     base, rows = cells, []
     for grp, x in own:
         n = int(np.ceil(x * PIECES)) if x > 1 else 1
