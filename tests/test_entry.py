@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["doc_lines", "path_filter", "pattern_dim", "verifier_dim", "patterns_without_verifier", "git_added_lines", "pragma_rows", "classify_ladder", "scan_corpus_all_patterns", "stream_scan"]
+SOME = ["doc_lines", "path_filter", "pattern_dim", "verifier_dim", "patterns_without_verifier", "git_added_lines", "pragma_rows", "classify_ladder", "scan_corpus_all_patterns", "stream_scan", "ignored_paths", "verification_requests", "findings_in_order", "apply_host_verdicts", "prompt_candidates", "history_events"]
 
 
 def value(v):
@@ -18,7 +18,7 @@ def value(v):
     return v if v is None or isinstance(v, (bool, int, str)) else str(v)
 
 
-@pytest.mark.parametrize("name", SOME + ["op5_segment_partition"])
+@pytest.mark.parametrize("name", SOME + ["op5_segment_partition", "op11_merkle_manifest", "op12_drake_centroids", "op13_count_vector_rtree"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     if name not in entry.queries():
