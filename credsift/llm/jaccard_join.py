@@ -7,7 +7,7 @@ is verified on the whole sets.
 
 One tree over all points would meet nearly every other one near its root, so points are dealt out first, and without loss:
 under one order of all shingles, similar sets share one among their first ``n - ceil(0.8 n) + 1``. Sets that share such a
-shingle form a group, and groups with the same smallest member are one. Shingles that more than ``CROWD`` sets have among
+shingle and are of about one size form a group, and groups with the same smallest member are one. Shingles that more than ``CROWD`` sets have among
 their first come last in the order (the ``HOT`` most frequent of them, so that the list has a bound), and the sets they
 were taken from are dealt again: a passage shared by a third of all documents gathers no one. The order decides how much work
 there is, never the result. Groups are cut into blocks of bounded size, and many small ones make one task's work.
@@ -230,24 +230,27 @@ def _representatives(documents: DataFrame, best: DataFrame) -> DataFrame:
 
 def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """pivot, fp: groups of sets (of ``distinct``) among which every similar pair stands together in one at least."""
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
-    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared-shingles")
-    hot = [r.key for r in shared.filter(F.col("m") > CROWD).orderBy(F.desc("m"), "key").limit(HOT).collect()]  # at most HOT numbers
-    met = keyed
+    keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    found = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    apart = LEAST[1] * F.col("low") < LEAST[0] * F.col("high")  # two sets of sizes too different
+    found = staged(found.filter((F.col("m") > 2) | ((F.col("m") == 2) & ~apart)).select("key", "m"), "shared-shingles")
+    hot = [r.key for r in found.filter(F.col("m") > CROWD).orderBy(F.desc("m"), "key").limit(HOT).collect()]  # at most HOT numbers
     if hot:
         late = documents.sparkSession.createDataFrame([(k,) for k in hot], "key long")
         redealt = distinct.join(keyed.join(F.broadcast(late), "key", "left_semi").select("fp").distinct(), "fp", "left_semi")
         numbers = np.sort(np.array(hot, np.int64).view(np.uint64))
-        more = _each_set(_representatives(documents, redealt), "fp long, keys array<long>", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), _lists(pa, [leading(s, numbers) for s in sets])])
-        more = staged(more.select("fp", F.explode("keys").alias("key")).distinct(), "later-shingles")
-        keys = shared.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
+        more = _each_set(_representatives(documents, redealt), "fp long, n long, keys array<long>", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(pa, [leading(s, numbers) for s in sets])])
+        more = staged(more.select("fp", "n", F.explode("keys").alias("key")).distinct(), "later-shingles")
+        keys = found.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
         old = keyed.join(F.broadcast(late), "key", "left_anti").join(bounded(staged(keys, "keys"), NUMBERS), "key", "left_semi")
-        met = old.select("key", "fp").union(more.select("key", "fp"))
+        met = old.select("key", "fp", "n").union(more.select("key", "fp", "n"))
     else:
-        met = keyed.join(bounded(shared.select("key"), NUMBERS), "key", "left_semi").select("key", "fp")
-    met = staged(met, "met").repartition("key")
-    pivots = met.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
-    return staged(met.join(pivots, "key").select("pivot", "fp").distinct(), "groups")
+        met = keyed.join(bounded(found.select("key"), NUMBERS), "key", "left_semi").select("key", "fp", "n")
+    # sizes of similar sets differ by less than one step: each is with its own step and with the next
+    step = F.floor(F.log("n") / F.log(F.lit(LEAST[1] / LEAST[0] + 0.01)))
+    met = staged(met.select("key", "fp", F.explode(F.array(step, step + 1)).alias("step")), "met").repartition("key", "step")
+    pivots = met.groupBy("key", "step").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "step", "pivot")
+    return staged(met.join(pivots, ["key", "step"]).select("pivot", "fp").distinct(), "groups")
 
 
 def _in_blocks(groups: DataFrame, weight, limit: int) -> DataFrame:
