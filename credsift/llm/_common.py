@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir, ship_package, spread
+
 #: Rows and bytes of one Arrow batch sent to Python; texts may be long, so both are held down.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Rows of about 100 bytes up to which a side of a join is broadcast.
@@ -19,16 +18,8 @@ NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="credsift-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """A table of the folder; rows of a small one in few files are dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -47,20 +38,6 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_credsift_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="credsift-")) / "credsift.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in root.rglob("*.py"):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._credsift_shipped = True
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

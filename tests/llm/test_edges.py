@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from credsift.llm import bpe, decontam, html_main, langid, line_dedup, quality, repeats, shard_pack, simhash, token_store
+from credsift.llm import bpe, decontam, html_main, langid, line_dedup, near_copies, quality, repeats, shard_pack, simhash, token_store
 from credsift.llm.queries import tokenizer_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, sig long, place int, fp long, h long, key long, _row string, size string"
@@ -77,7 +77,7 @@ def test_repeats_and_ties(spark):
     same = "A text that is there three times, word for word, and so is its own copy. " * 4
     d = spark.createDataFrame([(3, same), (1, same), (2, same), (2, same)], "doc_id long, text string")
     assert {r.component_id for r in simhash.near_duplicates(d).collect()} == {1}
-    assert [r.doc_id for r in simhash.keep_one(d).collect()] == [1]
+    assert [r.doc_id for r in near_copies.keep_one(d).collect()] == [1]
     assert {(r.n_removed == r.n_bytes, r.n_spans) for r in repeats.remove_repeats(d).collect()} == {(True, 1)}
     assert {r.left_whole for r in line_dedup.line_report(d).collect()} == {False, True}
     assert len({r.shard for r in shard_pack.assign_shards(spark.range(240).select(F.col("id").alias("doc_id"), F.lit(same).alias("text"))).collect()}) == 24
