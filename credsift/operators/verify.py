@@ -29,6 +29,11 @@ def verifier_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string, provider string, ord int")
 
 
+def provider_names() -> list[str]:
+    """Who verifies, in the order in which they are asked; the fallback last."""
+    return [name for name, *_ in PROVIDERS] + [FALLBACK]
+
+
 def plan_requests(findings: DataFrame) -> DataFrame:
     """provider, pattern, match: one row for each request to make."""
     return findings.join(F.broadcast(verifier_frame(findings.sparkSession)), "pattern").select("provider", "pattern", "match").distinct()

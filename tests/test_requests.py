@@ -42,6 +42,8 @@ def test_signing_key_of_the_published_example(spark):
 
 def test_each_provider_has_an_endpoint():
     assert [e[0] for e in ENDPOINTS] == [p[0] for p in PROVIDERS]
+    names = verify.provider_names()
+    assert len(names) == len(set(names)) == 26 and names[0] == "github" and names[-2:] == ["databricks", verify.FALLBACK]
 
 
 def test_what_is_sent(spark):
