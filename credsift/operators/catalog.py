@@ -112,12 +112,16 @@ def lookup(findings: DataFrame, catalog: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(needs=batch["value"].map(required_texts))
 
-    rules = catalog.filter("strategy = 'regex'").select("pos", "id", "verdict", "value")
-    rules = written(rules.mapInPandas(demand, "pos int, id string, verdict string, value string, needs array<string>"), "catalogue")
-    loose = rules.filter("size(needs) = 0")
+    loose = rules = catalog.filter("strategy = 'regex'").select("pos", "id", "verdict", "value")
+    many = rules.count() > BLOCK  # fewer are tried on every value at once, which costs less than looking for their texts
+    if many:
+        rules = written(rules.mapInPandas(demand, "pos int, id string, verdict string, value string, needs array<string>"), "catalogue")
+        loose = rules.filter("size(needs) = 0")
     blocks = max(1, -(-loose.count() // BLOCK))
     dealt = [loose if blocks == 1 else loose.filter(F.pmod("pos", F.lit(blocks)) == i) for i in range(blocks)]
     tried = reduce(DataFrame.union, (values.join(F.broadcast(r), F.expr("rlike(match, value)")).select("match", "pos", "id", "verdict") for r in dealt))
-    by_rule = tried.union(_by_required_text(values, rules.filter("size(needs) > 0"))).groupBy("match").agg(pick("-").alias("r"))
+    if many:
+        tried = tried.union(_by_required_text(values, rules.filter("size(needs) > 0")))
+    by_rule = tried.groupBy("match").agg(pick("-").alias("r"))
     known = known.join(by_rule, "match", "left").withColumn("c", F.coalesce("e", "h", "r"))
     return findings.join(known.select("match", F.col("c.id").alias("catalog_id"), F.col("c.verdict").alias("catalog_verdict")), "match", "left")
