@@ -149,6 +149,8 @@ def exit_codes(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def prompt_candidates(findings: DataFrame) -> DataFrame:
-    """id, path, pattern, severity, match_redacted, context: what a host model is shown of numbered findings, the value redacted in every line."""
+    """id, path, pattern, severity, match_redacted, context: what a host model is shown of numbered findings (else numbered here), the value redacted in every line."""
+    if "id" not in findings.columns:
+        findings = numbered(findings)
     shown = redacted(F.col("match"))
     return findings.select(F.col("id").cast("string").alias("id"), "path", "line", "column", "pattern", "severity", shown.alias("match_redacted"), F.array_join(F.transform("context", lambda x: F.replace(x, F.col("match"), shown)), "\n").alias("context"))
