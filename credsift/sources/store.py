@@ -11,9 +11,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: Columns of findings that hold raw values.
 SECRET = ("match", "context")
@@ -54,15 +54,19 @@ def sealed(df: DataFrame, columns=SECRET) -> DataFrame:
     """``df`` with the columns that hold raw values encrypted under the run's key."""
     key = F.lit(bytearray(_key(df.sparkSession)))
     some = [f for f in df.schema if f.name in columns]
-    return df.withColumns({f.name: F.aes_encrypt(F.to_json(F.struct(f.name)), key) for f in some})
+    return df.withColumns({f.name: F.aes_encrypt(F.col(f.name) if f.dataType == StringType() else F.to_json(F.struct(f.name)), key) for f in some})
 
 
 def unsealed(df: DataFrame, schema: StructType) -> DataFrame:
     """What ``sealed`` made of a frame of ``schema``, readable again."""
     key = F.lit(bytearray(_key(df.sparkSession)))
     some = [f for f in schema if f.name in SECRET]
-    plain = {f.name: F.from_json(F.aes_decrypt(f.name, key).cast("string"), StructType([f]))[f.name] for f in some}
-    return df.withColumns(plain).select(*schema.names)
+
+    def plain(f) -> Column:
+        text = F.aes_decrypt(f.name, key).cast("string")
+        return text if f.dataType == StringType() else F.from_json(text, StructType([f]))[f.name]
+
+    return df.withColumns({f.name: plain(f) for f in some}).select(*schema.names)
 
 
 def written_sealed(df: DataFrame, name: str) -> DataFrame:
