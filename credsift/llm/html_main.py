@@ -5,7 +5,12 @@ the like (by element, role or class) are boilerplate; blocks of an ``article`` (
 whose longer name holds such a word (``has-sidebar``) doesn't drop an article within it. Where a
 page marks neither, its blocks are undecided, and its host decides: the token streams of the host's pages, boilerplate and
 undecided, are laid end to end, their suffixes sorted, and runs of ``RUN`` tokens or more that occur on different pages
-are boilerplate; unique runs are kept. Repeats within a marked article are never removed: they are copies of articles.
+are boilerplate; unique runs are kept.
+
+Marked articles take part too: a block of ``RUN`` tokens or more within one is a notice of the host, not of the article, if all its
+runs stand in at least half of the host's different articles (``LEAST_ARTICLES`` at least; articles with the same longest block
+are one). Copies of articles are spared: where such blocks hold more than a quarter of an article's tokens, all stay.
+Shorter blocks stay. A block can only be such a notice if its first run is that frequent, so only these blocks meet in suffix arrays.
 
 Suffix arrays are built over the pages of a host that one task holds, which yields one representative of each run; runs
 that only repeat between tasks are found by an aggregation over these. A host of any size is dealt over many tasks.
@@ -28,6 +33,7 @@ from ._common import bounded_batches, staged
 from ._winnow import _mix
 
 RUN = 8
+LEAST_ARTICLES, HOST_SHARE, COPY_SHARE = 5, (1, 2), (1, 4)
 DEAL_PAGES = 500  # pages of one host that one task holds, about
 TEXT, BOILERPLATE, UNDECIDED = 0, 1, 2
 
@@ -179,19 +185,33 @@ def _run_hashes(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x.view(np.int64), y.view(np.int64)
 
 
+def _heads(blocks: list[str]) -> list[dict]:
+    """Hashes of the first run of each block that is long enough."""
+    first = [w for b in blocks if len(own := b.split(" ", RUN)[:RUN]) == RUN for w in own]
+    if not first:
+        return []
+    x, y = _run_hashes(_hashes(first), np.arange(0, len(first), RUN))
+    return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist())]
+
+
 def _read(batches):
     import pyarrow as pa
 
     for batch in batches:
-        rows = {"page_id": batch.column("page_id"), "url": batch.column("url"), "decided": [], "text": [], "blocks": [], "kinds": []}
+        rows = {"page_id": batch.column("page_id"), "url": batch.column("url"), "decided": [], "text": [], "blocks": [], "kinds": [], "article": [], "heads": []}
         for page in batch.column("html").to_pylist():
             found = blocks_of(page or "")
             decided = not any(k == UNDECIDED for _, k in found)
             rows["decided"].append(decided)
-            rows["text"].append("\n\n".join(t for t, k in found if k == TEXT) if decided else None)
+            texts = [t for t, k in found if k == TEXT] if decided else []
+            rows["text"].append("\n\n".join(texts) if decided else None)
+            rows["article"].append(max(texts, key=len, default=""))
+            rows["heads"].append(_heads(texts))
             rest = [(t, k) for t, k in found if k != TEXT]
             rows["blocks"].append([t for t, _ in rest])
             rows["kinds"].append([k for _, k in rest])
+        rows["article"] = pa.array(_hashes(rows["article"]).view(np.int64))
+        rows["heads"] = pa.array(rows["heads"], pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))
         rows["kinds"] = pa.array(rows["kinds"], pa.list_(pa.int32()))
         rows["blocks"] = pa.array(rows["blocks"], pa.list_(pa.string()))
         rows["text"] = pa.array(rows["text"], pa.string())
@@ -261,6 +281,86 @@ def _keep_unique(batches):
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(text, pa.string())})
 
 
+def _candidates(batches):
+    """Blocks of marked articles whose first run is frequent on the host, a row for each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("host", "row", "article", "blocks")}
+        for host, row, article, text, wide in zip(*(batch.column(k).to_pylist() for k in ("host", "row", "article", "text", "wide"))):
+            known = {(w["x"], w["y"]) for w in wide}
+            for b in text.split("\n\n"):
+                if (h := _heads([b])) and (h[0]["x"], h[0]["y"]) in known:
+                    for k, v in zip(out, (host, row, article, [b])):
+                        out[k].append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+
+
+def _article_runs(batches):
+    """The runs of candidate blocks by a suffix array over those of a batch: each once for a host's article."""
+    import pyarrow as pa
+
+    for batch in batches:
+        streams = [blocks[0].split() for blocks in batch.column("blocks").to_pylist()]
+        words = [w for s in streams for w in s]
+        if not words:
+            continue
+        block = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+        token = _hashes(words)
+        order, kind = suffix_runs(token, block)
+        rows = np.stack([kind, batch.column("host").to_numpy()[block[order]], batch.column("article").to_numpy()[block[order]]], 1)
+        rows, at = np.unique(rows, axis=0, return_index=True)
+        x, y = _run_hashes(token, order[at])
+        yield pa.RecordBatch.from_pydict({"host": pa.array(rows[:, 1].copy()), "article": pa.array(rows[:, 2].copy()), "x": pa.array(x), "y": pa.array(y)})
+
+
+def _without_notices(batches):
+    """Articles without the blocks all of whose runs are frequent on the host; copies of articles stay whole."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for text, repeated in zip(*(batch.column(k).to_pylist() for k in ("text", "repeated"))):
+            known = {(r["x"], r["y"]) for r in repeated or ()}
+            kept, size, gone = [], 0, 0
+            for b in text.split("\n\n") if known else ():
+                own = b.split()
+                size += len(own)
+                wide = len(own) >= RUN
+                if wide:
+                    x, y = _run_hashes(_hashes(own), np.arange(len(own) - RUN + 1))
+                    wide = all(p in known for p in zip(x.tolist(), y.tolist()))
+                if wide:
+                    gone += len(own)
+                else:
+                    kept.append(b)
+            out.append("\n\n".join(kept) if gone and COPY_SHARE[1] * gone <= COPY_SHARE[0] * size else text)
+        yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())})
+
+
+def _decided(marked: DataFrame) -> DataFrame:
+    """page_id, url, text of pages whose article is marked, without the notices of their host."""
+    plain = marked.select("page_id", "url", "text")
+    articles = marked.groupBy("host").agg(F.countDistinct("article").alias("articles")).filter(F.col("articles") >= LEAST_ARTICLES)
+
+    def frequent(runs: DataFrame) -> DataFrame:
+        n = runs.select("host", "article", "x", "y").distinct().groupBy("host", "x", "y").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ARTICLES)
+        return n.join(articles, "host").filter(HOST_SHARE[1] * F.col("n") >= HOST_SHARE[0] * F.col("articles")).select("host", "x", "y")
+
+    heads = staged(frequent(marked.select("host", "article", F.inline("heads"))), "heads")
+    if not heads.limit(1).count():
+        return plain
+    rows = marked.withColumn("row", F.xxhash64("page_id", "url", "text"))
+    some = lambda found, name: found.groupBy("row").agg(F.collect_set(F.struct("x", "y")).alias(name))
+    wide = some(rows.select("host", "row", F.inline("heads")).join(heads, ["host", "x", "y"], "left_semi"), "wide")
+    blocks = staged(rows.join(wide, "row").select("host", "row", "article", "text", "wide").mapInArrow(_candidates, "host long, row long, article long, blocks array<string>"), "candidates")
+    runs = staged(frequent(blocks.mapInArrow(_article_runs, "host long, article long, x long, y long")), "host-runs")
+    held = blocks.select("host", "row", "blocks").mapInArrow(_held, "host long, row long, x long, y long")
+    hits = some(held.join(runs, ["host", "x", "y"], "left_semi"), "repeated")
+    return rows.join(hits, "row", "left").select("page_id", "url", "text", "repeated").mapInArrow(_without_notices, "page_id long, url string, text string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     spark = pages.sparkSession
@@ -268,7 +368,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]+:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    read = staged(source.mapInArrow(_read, "page_id long, url string, decided boolean, text string, blocks array<string>, kinds array<int>"), "pages")
+    read = staged(source.mapInArrow(_read, "page_id long, url string, decided boolean, text string, blocks array<string>, kinds array<int>, article long, heads array<struct<x: long, y: long>>"), "pages")
     streams = read.withColumn("host", host).withColumn("page", F.coalesce("page_id", F.lit(-1)))
     salts = max(64, read.count() // DEAL_PAGES)
     dealt = streams.select("host", "page", "blocks").repartition("host", F.pmod(F.xxhash64("page"), F.lit(salts)))
@@ -281,7 +381,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     held = asks.select("host", "row", "blocks").mapInArrow(_held, "host long, row long, x long, y long")
     hits = held.join(repeated, ["host", "x", "y"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("x", "y")).alias("repeated"))
     rest = asks.join(hits, "row", "left").select("page_id", "url", "blocks", "kinds", "repeated").mapInArrow(_keep_unique, "page_id long, url string, text string")
-    out = read.filter("decided").select("page_id", "url", "text").union(rest)
+    out = _decided(streams.filter("decided")).union(rest)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
