@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, bounded, ship_package, staged, text_chunks
+from ._common import NO_ID, bounded, drop_staged, ship_package, staged, text_chunks
 from .components import connected_components
 from .near_copies import LEAST, SHINGLE, set_hash, shingle_set
 
@@ -234,6 +234,7 @@ def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     found = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
     apart = LEAST[1] * F.col("low") < LEAST[0] * F.col("high")  # two sets of sizes too different
     found = staged(found.filter((F.col("m") > 2) | ((F.col("m") == 2) & ~apart)).select("key", "m"), "shared-shingles")
+    used = [found]
     hot = [r.key for r in found.filter(F.col("m") > CROWD).orderBy(F.desc("m"), "key").limit(HOT).collect()]  # at most HOT numbers
     if hot:
         late = documents.sparkSession.createDataFrame([(k,) for k in hot], "key long")
@@ -242,15 +243,22 @@ def _dealt(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         more = _each_set(_representatives(documents, redealt), "fp long, n long, keys array<long>", lambda pa, ids, sigs, sets: [pa.array(map(set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(pa, [leading(s, numbers) for s in sets])])
         more = staged(more.select("fp", "n", F.explode("keys").alias("key")).distinct(), "later-shingles")
         keys = found.join(F.broadcast(late), "key", "left_anti").select("key").union(more.select("key")).distinct()
-        old = keyed.join(F.broadcast(late), "key", "left_anti").join(bounded(staged(keys, "keys"), NUMBERS), "key", "left_semi")
+        keys = staged(keys, "keys")
+        used += [more, keys]
+        old = keyed.join(F.broadcast(late), "key", "left_anti").join(bounded(keys, NUMBERS), "key", "left_semi")
         met = old.select("key", "fp", "n").union(more.select("key", "fp", "n"))
     else:
         met = keyed.join(bounded(found.select("key"), NUMBERS), "key", "left_semi").select("key", "fp", "n")
     # sizes of similar sets differ by less than one step: each is with its own step and with the next
     step = F.floor(F.log("n") / F.log(F.lit(LEAST[1] / LEAST[0] + 0.01)))
-    met = staged(met.select("key", "fp", F.explode(F.array(step, step + 1)).alias("step")), "met").repartition("key", "step")
+    met = staged(met.select("key", "fp", F.explode(F.array(step, step + 1)).alias("step")), "met")
+    used.append(met)
+    met = met.repartition("key", "step")
     pivots = met.groupBy("key", "step").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "step", "pivot")
-    return staged(met.join(pivots, ["key", "step"]).select("pivot", "fp").distinct(), "groups")
+    groups = staged(met.join(pivots, ["key", "step"]).select("pivot", "fp").distinct(), "groups")
+    for frame in used:
+        drop_staged(groups.sparkSession, frame)
+    return groups
 
 
 def _in_blocks(groups: DataFrame, weight, limit: int) -> DataFrame:
@@ -265,11 +273,16 @@ def _bagged(rows: DataFrame, weight, limit: int) -> DataFrame:
     return rows.withColumn("bag", F.pmod(F.xxhash64("pivot", "p", "q"), F.lit(bags)))
 
 
-def links(documents: DataFrame, distinct: DataFrame, repeated: bool = True) -> DataFrame:
-    """a, b: links between fps (of ``distinct``: fp, best, n, keys, counts) that connect all similar sets; whether rows may be repeated."""
+def links(documents: DataFrame, distinct: DataFrame, first_keys: DataFrame, repeated: bool = True) -> DataFrame:
+    """a, b: links between fps (of ``distinct``: fp, best, n, counts) that connect all similar sets; whether rows may be repeated.
+
+    ``first_keys`` (fp, best, n, keys; staged) is deleted once the groups are dealt: it is most of what lies on the disk.
+    """
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     two = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
-    dealt = _in_blocks(_dealt(documents, distinct), F.lit(1), BLOCK).withColumn("other", F.explode(every)).select("pivot", *two, "own", "fp")
+    groups = _dealt(documents, first_keys)
+    drop_staged(documents.sparkSession, first_keys)
+    dealt = _in_blocks(groups, F.lit(1), BLOCK).withColumn("other", F.explode(every)).select("pivot", *two, "own", "fp")
     bags = _bagged(staged(dealt, "dealt"), F.lit(1), BAG).join(distinct.select("fp", "n", "counts"), "fp")
     pairs = bags.groupBy("bag").applyInArrow(_mark, "pivot long, fp long").distinct()
     pairs = staged(pairs.join(distinct.select("fp", "n"), "fp"), "possible")
@@ -310,13 +323,15 @@ def linked(documents: DataFrame) -> DataFrame:
     # of copies the first row; rows alike in id and text are alike in all of these
     same = some.join(bounded(several.withColumnRenamed("best", "first")), "fp").filter("best = first").dropDuplicates(["fp"])
     distinct = alone.union(same.select("fp", "best", "low", "copies", "n", "keys", "counts"))
-    distinct = staged(distinct, "distinct-sets")
+    first_keys = staged(distinct.select("fp", "best", "n", "keys"), "first-keys")
+    distinct = staged(distinct.drop("keys"), "distinct-sets")
     repeated = bool(marked.groupBy("doc_id", "sig").count().filter("count > 1").limit(1).count())
-    roots = staged(connected_components(links(documents, distinct, repeated)), "roots")
+    rows = staged(marked.select("doc_id", "fp", "n"), "rows")
+    drop_staged(documents.sparkSession, marked)
+    roots = staged(connected_components(links(documents, distinct, first_keys, repeated)), "roots")
     owner = distinct.select("fp", "low", "copies").join(roots, distinct.fp == roots.node, "left")
     owner = staged(owner.filter("copies > 1 or root is not null").select("fp", "low", F.coalesce("root", "fp").alias("root")), "owners")
     smallest = owner.join(owner.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    rows = marked.select("doc_id", "fp", "n")
     result = rows.filter("n > 0").join(bounded(staged(smallest, "components")), "fp", "left")
     result = result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return result.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))

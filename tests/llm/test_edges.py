@@ -90,3 +90,18 @@ def test_stages_keep_columns_and_survive(spark, edge, tmp_path, bench):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_shingles_do_not_stay_on_the_disk(spark):
+    import glob
+
+    from credsift.llm import jaccard_join
+    from credsift.sources.store import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file://")
+    before = {k: set(glob.glob(f"{shared}/{k}-*/*.parquet")) for k in ("shingle-marks", "first-keys", "met", "shared-shingles")}
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, text), (4, "other words here and there"), (5, None)], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.linked(docs).collect()))
+    assert got == [(1, 56, 1), (2, 57, 1), (3, 56, 1), (4, 1, 4), (5, 0, 5)]
+    assert all(set(glob.glob(f"{shared}/{k}-*/*.parquet")) == files for k, files in before.items())  # all stayed before
