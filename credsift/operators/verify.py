@@ -70,15 +70,26 @@ def outcome() -> Column:
     return F.struct(status.alias("status"), reason.alias("status_reason"), F.when(status == "verified", meta).alias("meta"))
 
 
+def answers(responses: DataFrame) -> DataFrame:
+    """match, answers: what was said of each value, each answer with its rank among them."""
+    told = responses.withColumn("o", outcome())
+    status, turn = F.col("o.status"), F.array_position(F.array(*map(F.lit, provider_names())), F.col("provider"))
+    priority = F.when(status == "verified", 3).when(status == "invalid", 2).otherwise(1)
+    rank = F.when(priority == 3, -turn).otherwise(turn)
+    return told.groupBy("match").agg(F.collect_list(F.struct(priority.alias("priority"), rank.alias("rank"), "provider", "o")).alias("answers"))
+
+
 def judge(findings: DataFrame, responses: DataFrame) -> DataFrame:
-    """``findings`` with the best outcome: verified before invalid before unverified; of equals the later verifier, but the first that verifies."""
-    told = responses.select("provider", "match", outcome().alias("o"))
-    asked = findings.select("pattern", "match").distinct().join(F.broadcast(verifier_frame(findings.sparkSession)), "pattern").join(told, ["provider", "match"])
-    priority = F.when(F.col("o.status") == "verified", 3).when(F.col("o.status") == "invalid", 2).otherwise(1)
-    turn = F.when(priority == 3, -F.col("ord")).otherwise(F.col("ord"))
-    best = asked.groupBy("pattern", "match").agg(F.max_by(F.struct("provider", "o"), F.struct(priority, turn)).alias("b"))
+    """``findings`` with the best outcome: verified before invalid before unverified; of equals the later verifier, but the first that verifies.
+
+    They meet their answers by value alone, so what else is joined by value needs no further shuffle of them.
+    """
+    handled = {p.id: [name for name, some, _, _ in PROVIDERS if p.id in some.split()] + [FALLBACK] * (p.id not in UNVERIFIED) for p in patterns()}
+    who = F.create_map(*(x for p, names in handled.items() if names for x in (F.lit(p), F.array(*map(F.lit, names)))))[F.col("pattern")]
+    best = F.array_max(F.filter("answers", lambda a: F.array_contains(who, a["provider"])))
     findings = findings.drop("provider", "status", "status_reason", "meta")  # of an earlier run
-    return findings.join(best, ["pattern", "match"], "left").select("*", F.col("b.provider").alias("provider"), "b.o.status", "b.o.status_reason", "b.o.meta").drop("b")
+    rows = findings.join(answers(responses), "match", "left").withColumn("b", best)
+    return rows.select("*", F.col("b.provider").alias("provider"), "b.o.status", "b.o.status_reason", "b.o.meta").drop("b", "answers")
 
 
 #: Provider, what a line with a host holds, and the host (group 1). Runs of name characters are entered at their start
