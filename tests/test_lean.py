@@ -101,3 +101,9 @@ def test_an_answer_counts_for_its_patterns_only(spark):
     got = {(r.pattern, r.match): (r.provider, r.status) for r in verify.judge(rows, spark.createDataFrame(said, verify.RESPONSE)).collect()}
     assert by["npm_token"] == ["npm", verify.FALLBACK] and got["npm_token", "v"] == (verify.FALLBACK, "verified") and got["npm_token", "w"] == (None, None)
     assert got["slack_token", "v"][1] == ("verified" if by["slack_token"] else None) and got["jwt", "v"] == ((verify.FALLBACK, "verified") if by["jwt"] else (None, None))
+
+
+def test_lines_are_kept_where_proposals_are_made(spark):
+    text = f"API_KEY = '{KEY}'"
+    rows = pared(scan(spark.createDataFrame([("app/a.rb", text), ("docs/a.md", text), ("svc/.env", text)], "path string, text string")), lines=True)
+    assert {r.path: r.context for r in rows.filter(F.col("match") == KEY).collect()} == {"app/a.rb": [text], "docs/a.md": None, "svc/.env": None}
